@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import q_correlation, q_ioc
+from tracewell.plans import q_analysis, q_correlation, q_ioc
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [q_correlation, q_ioc]
+_MODULES = [q_correlation, q_ioc, q_analysis]
 FLAGSHIP: Query = q_correlation.QUERIES["process_lineage"]
 
 
