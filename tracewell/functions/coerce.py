@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import first_truthy, let
+from tracewell.functions.text import let
 
 _INT = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -18,6 +18,8 @@ _ISO = (
     r"(?:\+00:00|([+-])(\d{2})(?::?(\d{2})(?::?(\d{2})(?:\.\d+)?)?)?)?)?$"
 )
 _ISO_DATE = r"^(?:\d{4}-\d{2}-\d{2}|\d{8})(?:\D|$)"
+# what almost every record has: Spark reads it as it is
+_PLAIN_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z?$"
 _FILETIME_EPOCH_MICROS = 11644473600000000
 
 
@@ -42,10 +44,7 @@ def coerce_pid(col: Column) -> Column:
     return coerce_int(col, 0)
 
 
-def parse_iso(col: Column) -> Column:
-    """ISO-8601 text to a UTC timestamp; naive text is UTC, anything else NULL."""
-    text = F.replace(col, F.lit("Z"), F.lit("+00:00"))
-
+def _slow_iso(text: Column) -> Column:
     def part(i: int, default: str) -> Column:
         got = F.regexp_extract(text, _ISO, i)
         return F.when(got == "", F.lit(default)).otherwise(got)
@@ -55,12 +54,18 @@ def parse_iso(col: Column) -> Column:
         part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"),
         F.lit("."), F.rpad(part(7, "0"), 6, "0"), F.lit(" UTC"),
     )
-    shift = (part(9, "0").cast("int") * 3600 + part(10, "0").cast("int") * 60 + part(11, "0").cast("int"))
-    shift = F.when(part(8, "+") == "-", -shift).otherwise(shift)
+    shift = part(9, "0").cast("int") * 3600 + part(10, "0").cast("int") * 60 + part(11, "0").cast("int")
+    signed = F.when(part(8, "+") == "-", -shift).otherwise(shift)
     parsed = canonical.try_cast("timestamp")
-    moved = F.timestamp_micros(F.unix_micros(parsed) - shift.cast("bigint") * 1000000)
-    gate = text.rlike(_ISO_DATE) & text.rlike(_ISO)
-    return F.when(gate, F.when(part(8, "") == "", parsed).otherwise(moved))
+    moved = F.timestamp_micros(F.unix_micros(parsed) - signed.cast("bigint") * 1000000)
+    return F.when(text.rlike(_ISO_DATE) & text.rlike(_ISO), moved)
+
+
+def parse_iso(col: Column) -> Column:
+    """ISO-8601 text to a UTC timestamp; naive text is UTC, anything else NULL."""
+    return F.when(
+        col.rlike(_PLAIN_ISO), F.concat(F.replace(col, F.lit("Z"), F.lit("")), F.lit(" UTC")).try_cast("timestamp")
+    ).when(col.rlike(_ISO_DATE), let(F.replace(col, F.lit("Z"), F.lit("+00:00")), _slow_iso))
 
 
 def numeric_time(value: Column) -> Column:
@@ -92,11 +97,6 @@ def coerce_utc_datetime(col: Column, skew_seconds: Column | float = 0.0, numeric
     return F.timestamp_micros(F.unix_micros(parsed) + F.round(skew * 1000000).cast("bigint"))
 
 
-def record_time(record: Column, keys: list[str], fallback: Column) -> Column:
-    """First parseable time among ``keys`` of a variant record, else ``fallback``."""
-    return F.coalesce(*[parse_iso(first_truthy(record, f"['{k}']")) for k in keys], fallback)
-
-
 def coerce_ipv4(col: Column) -> Column:
     text = F.trim(col.cast("string"))
     return F.when(text.rlike(_IPV4), text)

@@ -7,48 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# text of JSON scalars and containers that count as "nothing there" unless they are strings
-_FALSY_TEXT = ["0", "-0", "0.0", "-0.0", "0E0", "false", "[]", "{}"]
-
-
-def pick(record: Column, path: str) -> Column:
-    """The value at one literal top-level key or a dotted list of keys, as text.
-
-    ``path`` is a JSON path body such as ``Computer``, ``['id.orig_h']`` or
-    ``rule.description``.
-    """
-    return F.try_variant_get(record, json_path(path), "string")
-
-
-def json_path(path: str) -> str:
-    return "$" + path if path.startswith("[") else "$." + path
-
-
-def has_key(record: Column, key: str) -> Column:
-    """True if the object has the key, even with a JSON null under it."""
-    return F.try_variant_get(record, f"$['{key}']", "variant").isNotNull()
-
-
-def truthy(record: Column, path: str) -> Column:
-    """The text at ``path``, or NULL if it is missing, null, empty, zero, false or an empty container.
-
-    The number 0 is nothing while the string "0" is something, so the type is
-    looked at -- but only for the few texts where it decides.
-    """
-    text = pick(record, path)
-    kind = F.schema_of_variant(F.try_variant_get(record, json_path(path), "variant"))
-    return (
-        F.when(text == "", F.lit(None))
-        .when(text.isin(_FALSY_TEXT) & (kind != "STRING"), F.lit(None))
-        .otherwise(text)
-    )
-
-
-def first_truthy(record: Column, *paths: str) -> Column:
-    values = [truthy(record, p) for p in paths]
-    return values[0] if len(values) == 1 else F.coalesce(*values)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -81,8 +39,3 @@ def ends_with_any(col: Column, words: list[str]) -> Column:
 def python_regex(pattern: str, ignore_case: bool = False) -> str:
     """Java form of a pattern whose classes and boundaries are Unicode-aware."""
     return ("(?iU)" if ignore_case else "(?U)") + pattern
-
-
-def like_pattern(query: str) -> Column:
-    """``%query%`` with wildcards from the caller left active."""
-    return F.lit(f"%{query}%")
