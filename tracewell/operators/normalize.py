@@ -75,10 +75,14 @@ def normalize(
     ingest = ingest.cast("timestamp")
     step = parse_records(df)
     record = F.col("record")
-    detected = detect_source(record, sources) if parser is None else F.lit(parser)
-    number = F.expr("CASE _name " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(names)) + " END")
-    step = step.withColumn("_name", detected).withColumn("_n", number)
     mappings = {n: MAPPINGS[n] for n in V.SOURCES} | {n: s.mapping for n, s in known.items()}
+    if parser is None:
+        number = F.expr("CASE _name " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(names)) + " END")
+        step = step.withColumn("_name", detect_source(record, sources)).withColumn("_n", number)
+    else:
+        # one source: no detection, and no branches of other sources
+        names = [parser]
+        step = step.withColumns({"_name": F.lit(parser), "_n": F.lit(0)})
 
     # First projection: only choose texts.  Second: check them.  The checks look at their
     # input several times, so it has to be a column by then, not an expression.
@@ -94,7 +98,7 @@ def normalize(
         *[F.expr(get(k)).alias(f"_t{i}") for i, k in enumerate(keys)],
         *[chosen(t).alias(f"_{t}") for t in _MAPPED],
     )
-    listed = F.col("_n").isin([names.index(n) for n in HASH_LISTS])
+    listed = F.col("_n").isin([i for i, n in enumerate(names) if n in HASH_LISTS])
     mapped = mapped.withColumn("_file_hash", F.when(listed, coerce.extract_hash(F.col("_file_hash"))).otherwise(F.col("_file_hash")))
 
     def finished(target: str) -> Column:
