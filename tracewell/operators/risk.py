@@ -191,7 +191,8 @@ def _ioc_factors(events: DataFrame, iocs: DataFrame, verdicts: DataFrame | None,
     provider verdicts (X2-X10).  Both joins are on (type, value).
     """
     none = F.lit(None).cast("string")
-    known = iocs.select("incident_id", F.col("type").alias("ioc_type"), F.col("value").alias("ioc_value"))
+    known = iocs.select(
+        "incident_id", F.col("type").alias("ioc_type"), F.col("value").alias("ioc_value"), F.lower("value").alias("ioc_key"))
     parts = [
         known.filter(F.col("ioc_type") == "cve").groupBy("incident_id").agg(F.min("ioc_value").alias("v")).select(
             "incident_id", F.lit("cve_exploitation").alias("rule_id"),
@@ -200,7 +201,7 @@ def _ioc_factors(events: DataFrame, iocs: DataFrame, verdicts: DataFrame | None,
     ]
     if verdicts is not None:
         matched = known.join(
-            verdicts.select("ioc_type", "ioc_value", "is_malicious", "malware_families"), ["ioc_type", "ioc_value"]
+            verdicts.select("ioc_type", "ioc_key", "is_malicious", "malware_families"), ["ioc_type", "ioc_key"]
         )
         parts.append(
             matched.filter(F.col("is_malicious") & F.col("ioc_type").isin("sha256", "sha1", "md5"))
@@ -224,9 +225,9 @@ def _ioc_factors(events: DataFrame, iocs: DataFrame, verdicts: DataFrame | None,
         )
     if results is not None:
         engines = results.filter((F.col("provider") == "virustotal") & (F.col("engines_malicious") > 5)).select(
-            "ioc_type", "ioc_value", "engines_malicious")
+            "ioc_type", F.lower("ioc_value").alias("ioc_key"), "engines_malicious")
         parts.append(
-            known.join(engines, ["ioc_type", "ioc_value"]).groupBy("incident_id")
+            known.join(engines, ["ioc_type", "ioc_key"]).groupBy("incident_id")
             .agg(F.min(F.struct("ioc_value", "engines_malicious")).alias("v")).select(
                 "incident_id", F.lit("high_vt_detections").alias("rule_id"),
                 F.concat(F.lit("VT: "), F.col("v.engines_malicious").cast("string"), F.lit(" engines detected "),

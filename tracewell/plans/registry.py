@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import q_analysis, q_correlation, q_graph, q_ioc, q_normalize
+from tracewell.plans import q_analysis, q_correlation, q_graph, q_intel, q_ioc, q_normalize
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [q_correlation, q_ioc, q_analysis, q_graph, q_normalize]
+_MODULES = [q_correlation, q_ioc, q_analysis, q_graph, q_normalize, q_intel]
 FLAGSHIP: Query = q_correlation.QUERIES["process_lineage"]
 
 
