@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import q_analysis, q_correlation, q_graph, q_intel, q_ioc, q_normalize
+from tracewell.plans import q_analysis, q_correlation, q_graph, q_intel, q_ioc, q_normalize, q_pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [q_correlation, q_ioc, q_analysis, q_graph, q_normalize, q_intel]
-FLAGSHIP: Query = q_correlation.QUERIES["process_lineage"]
+_MODULES = [q_correlation, q_ioc, q_analysis, q_graph, q_normalize, q_intel, q_pipeline]
+FLAGSHIP: Query = q_pipeline.QUERIES["investigate"]
 
 
 def queries() -> dict[str, Query]:
