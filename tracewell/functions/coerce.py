@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import let
 
-_INT = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
+_GROUPED_INT = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = r"^" + _OCTET + r"(?:\." + _OCTET + r"){3}$"
 _H = r"[0-9A-Fa-f]{1,4}"
@@ -25,15 +25,15 @@ _FILETIME_EPOCH_MICROS = 11644473600000000
 
 def coerce_int(col: Column, minimum: int | None = None, maximum: int | None = None) -> Column:
     """Integer text or number within bounds, else NULL."""
-    text = F.replace(F.trim(col.cast("string")), F.lit("_"), F.lit(""))
-    value = F.when(col.cast("string").rlike(_INT), text.try_cast("bigint"))
-    ok = F.lit(True)
-    if minimum is not None:
-        ok = ok & (value >= minimum)
-    if maximum is not None:
-        ok = ok & (value <= maximum)
-    low, high = -(2**31), 2**31 - 1
-    return F.when(ok & value.between(low, high), value.cast("int"))
+    text = col.cast("string")
+    # digits may be grouped by underscores, which a cast does not read
+    grouped = F.when(text.rlike(_GROUPED_INT), F.replace(text, F.lit("_"), F.lit("")))
+    value = F.when(F.contains(text, F.lit("_")), grouped).otherwise(text).try_cast("int")
+    if minimum is None and maximum is None:
+        return value
+    low = F.lit(True) if minimum is None else value >= minimum
+    high = F.lit(True) if maximum is None else value <= maximum
+    return F.when(low & high, value)
 
 
 def coerce_port(col: Column) -> Column:

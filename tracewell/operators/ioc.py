@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions.text import let, python_regex
+from tracewell.session import spread
 
 _HASHES = ["sha1", "sha256", "sha512", "md5", "jarm"]
 _HASH_LENGTH = {"md5": 32, "sha1": 40, "sha256": 64, "jarm": 62}
@@ -271,7 +272,7 @@ def extract_iocs(
     within that scope instead; ``None`` keeps every match.
     """
     src = source if isinstance(source, Column) else F.lit(source)
-    rows = df.select(*id_cols, F.concat_ws("\n", *text_cols).alias("_text"), src.alias("_source"))
+    rows = spread(df.select(*id_cols, F.concat_ws("\n", *text_cols).alias("_text"), src.alias("_source")))
     texts = _with_texts(rows, F.col("_text"), [*id_cols, "_source"])
     c = F.col("clean")
     has = {

@@ -10,7 +10,8 @@ from tracewell.ext import custom_sources
 from tracewell.functions import coerce
 from tracewell.functions.text import non_empty
 from tracewell.schema import EVENT_COLUMNS, complete_events
-from tracewell.sources.mappings import DETECTION, HASH_LISTS, MAPPINGS, case_of, get
+from tracewell.session import spread
+from tracewell.sources.mappings import DETECTION, HASH_LISTS, MAPPINGS, case_of, get, key_values
 
 _SPACE = " \t\n\r\x0b\x0c"
 _VALIDATE = {
@@ -73,7 +74,7 @@ def normalize(
         parser = "generic"
     ingest = F.lit(None) if ingest_ts is None else ingest_ts if isinstance(ingest_ts, Column) else F.lit(ingest_ts)
     ingest = ingest.cast("timestamp")
-    step = parse_records(df)
+    step = parse_records(spread(df))
     record = F.col("record")
     mappings = {n: MAPPINGS[n] for n in V.SOURCES} | {n: s.mapping for n, s in known.items()}
     if parser is None:
@@ -84,6 +85,9 @@ def normalize(
         names = [parser]
         step = step.withColumns({"_name": F.lit(parser), "_n": F.lit(0)})
 
+    number_of = lambda n: names.index(n) if n in names else None
+    step = step.withColumn("_kv", F.expr(key_values(number_of("cef"), number_of("leef"))))
+
     # First projection: only choose texts.  Second: check them.  The checks look at their
     # input several times, so it has to be a column by then, not an expression.
     def chosen(target: str) -> Column:

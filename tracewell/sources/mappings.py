@@ -146,33 +146,46 @@ def _zeek(http: object, dns: object, other: object) -> str:
     return _by(pick("_path"), [(["http"], http), (["dns"], dns)], other)
 
 
-def _token_lookup(text: str, separator: str, key: str) -> str:
-    """Value of the last ``key=value`` token; '' if the value is empty, NULL if the key is absent."""
-    own = f"filter(split({text}, {separator}, -1), t -> contains(t, '=') AND trim(substring_index(t, '=', 1)) = {_q(key)})"
-    return f"trim(regexp_replace(try_element_at({own}, -1), '^[^=]*=', ''))"
-
-
-def _cef(*keys: str) -> str:
-    """Extension fields, from an object or from ``k=v k=v`` text."""
-    from_text = ", ".join(f"nullif({_token_lookup(pick('extension'), _q(' '), k)}, '')" for k in keys)
+def _tokens(text: str, separator: str) -> str:
+    """``k=v`` tokens of a text as structs."""
     return (
-        f"CASE {_kind('extension')} WHEN 'STRING' THEN coalesce({from_text}, NULL) "
-        f"ELSE {get(*[f'extension/{k}' for k in keys])} END"
+        f"transform(filter(split({text}, {separator}, -1), t -> contains(t, '=')), t -> "
+        "struct(trim(substring_index(t, '=', 1)) AS k, trim(regexp_replace(t, '^[^=]*=', '')) AS v))"
     )
 
 
+def _token(key: str) -> str:
+    """Value of the last token of that name; '' if the value is empty, NULL if the name is absent."""
+    return f"try_element_at(filter(_kv, t -> t.k = {_q(key)}), -1).v"
+
+
 _LEEF_TEXT = either("", "raw", "message")
 _LEEF_BODY = f"CASE WHEN startswith({_LEEF_TEXT}, 'LEEF:') THEN get(split({_LEEF_TEXT}, '[|]', 6), 5) END"
 
 
-def _leef(*keys: str) -> str:
-    """Attributes of the sixth header part, laid over the fields of the record."""
-    separator = f"CASE WHEN contains({_LEEF_BODY}, '\\t') THEN '\\t' ELSE ' ' END"
+def key_values(cef: int | None, leef: int | None) -> str:
+    """The token list ``_kv`` of CEF and LEEF records, split once per record; NULL for all others."""
+    arms = []
+    if cef is not None:
+        arms.append(f"WHEN _n = {cef} AND {_kind('extension')} = 'STRING' THEN {_tokens(pick('extension'), _q(' '))}")
+    if leef is not None:
+        # names are tab-separated if there is a tab at all
+        arms.append(
+            f"WHEN _n = {leef} THEN get(transform(array({_LEEF_BODY}), b -> "
+            + _tokens("b", "CASE WHEN contains(b, '\\t') THEN '\\t' ELSE ' ' END") + "), 0)"
+        )
+    return "CASE " + " ".join(arms) + " END" if arms else "CAST(NULL AS ARRAY<STRUCT<k: STRING, v: STRING>>)"
+
 
-    def one(key: str) -> str:
-        own = _token_lookup(_LEEF_BODY, separator, key)
-        return f"CASE WHEN {own} IS NOT NULL THEN nullif({own}, '') ELSE {get(key)} END"
+def _cef(*keys: str) -> str:
+    """Extension fields, from an object or from ``k=v k=v`` text."""
+    from_text = ", ".join(f"nullif({_token(k)}, '')" for k in keys)
+    return f"CASE WHEN _kv IS NOT NULL THEN coalesce({from_text}, NULL) ELSE {get(*[f'extension/{k}' for k in keys])} END"
 
+
+def _leef(*keys: str) -> str:
+    """Attributes of the sixth header part, laid over the fields of the record."""
+    one = lambda key: f"CASE WHEN {_token(key)} IS NOT NULL THEN nullif({_token(key)}, '') ELSE {get(key)} END"
     return f"coalesce({', '.join(one(k) for k in keys)}, NULL)"
 
 
