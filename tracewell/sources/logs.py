@@ -35,20 +35,18 @@ def read_lines(spark: SparkSession, path: str, glob: str = _LINE_FILES) -> DataF
 
 def explode_documents(df: DataFrame) -> DataFrame:
     """Whole-file JSON (value, ...) to one row per element of an array, or one for an object."""
-    rest = [c for c in df.columns if c != "value"]
+    rest = [c for c in df.columns if c not in ("value", "seq")]
     doc = df.withColumn("_doc", F.try_parse_json("value"))
     items = F.try_variant_get(F.col("_doc"), "$", "array<variant>")
     listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), items).otherwise(F.array("_doc"))
-    return doc.select(*rest, F.posexplode(listed).alias("_pos", "_item")).select(
-        F.to_json("_item").alias("raw_data"), *[c for c in rest if c != "seq"],
-        *([(F.col("seq") * F.lit(1 << 20) + F.col("_pos")).alias("seq")] if "seq" in rest else []),
-    ).filter(F.col("raw_data").isNotNull())
+    return doc.select(*rest, F.explode(listed).alias("_item")).filter(F.col("_item").isNotNull()).select(
+        F.to_json("_item").alias("raw_data"), *rest, F.monotonically_increasing_id().alias("seq"))
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = _DOCUMENT_FILES) -> DataFrame:
     """Records of ``.json`` files, each of which is one document."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true")
-    return explode_documents(_with_file(reader.text(path)))
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return explode_documents(_with_file(reader.text(path, wholetext=True)))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
