@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import quality
+from tracewell.llm import chat, mixing, quality
 
-_MODULES = [quality]
+_MODULES = [chat, quality, mixing]
 
 
 def queries() -> dict:
