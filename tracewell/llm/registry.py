@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, mixing, quality
+from tracewell.llm import chat, mixing, quality, rollup
 
-_MODULES = [chat, quality, mixing]
+_MODULES = [rollup, chat, quality, mixing]
 
 
 def queries() -> dict:
