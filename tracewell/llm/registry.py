@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, mixing, quality, rollup
+from tracewell.llm import chat, language, mixing, quality, rollup, toxicity
 
-_MODULES = [rollup, chat, quality, mixing]
+_MODULES = [rollup, chat, language, toxicity, quality, mixing]
 
 
 def queries() -> dict:
