@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import DOCUMENT, table
+from tracewell.llm.tables import DOCUMENT, stored, table
 
 #: Target shares in production; the sources not named share the rest in proportion to their size.
 TARGETS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.02}
@@ -30,6 +30,8 @@ SEED = "mix-1"
 PIECE = 4.0
 #: Quantiles are looked up among so many steps: beyond, a mean of PIECE has less than 2**-52 left.
 STEPS = 40
+#: Up to so many sources their rates are broadcast (some 400 bytes each); beyond, the join is a shuffled one.
+BROADCAST_SOURCES = 50_000
 
 
 def _uniform(*parts: Column) -> Column:
@@ -69,8 +71,10 @@ def rates(documents: DataFrame, targets: dict[str, float], passes: float) -> Dat
 def mixed(documents: DataFrame, targets: dict[str, float] | None = None, passes: float = PASSES, seed: str = SEED) -> DataFrame:
     """One row for each copy of each document, dealt out at random: the columns of ``documents``, rate, n_copies, copy, shuffle_key."""
     documents = documents.drop("rate", "pieces", "n_copies", "copy", "shuffle_key")
-    means = rates(documents, TARGETS if targets is None else targets, passes)
-    drawn = documents.join(means, documents["source"].eqNullSafe(means["_source"]))
+    means = stored(rates(documents, TARGETS if targets is None else targets, passes), "mix-rates")
+    if means.count() <= BROADCAST_SOURCES:
+        means = F.broadcast(means)
+    drawn = documents.join(means, documents["source"].eqNullSafe(F.col("_source")))
     copies = F.aggregate(
         F.sequence(F.lit(1), F.col("pieces")), F.lit(0),
         lambda n, j: n + F.size(F.filter("_steps", lambda c: c <= _uniform(F.lit(seed), F.col("doc_id"), j))))

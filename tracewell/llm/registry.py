@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, language, mixing, quality, rollup, toxicity
+from tracewell.llm import chat, language, mixing, neardup, quality, rollup, toxicity
 
-_MODULES = [rollup, chat, language, toxicity, quality, mixing]
+_MODULES = [rollup, chat, language, toxicity, quality, neardup, mixing]
 
 
 def queries() -> dict:
