@@ -41,8 +41,8 @@ class Words:
         raw = whole.slice(low, high - low).to_pybytes() if whole is not None and high > low else b""
         self.offsets = offsets - low
         self.n = len(texts)
-        self.bytes = raw
-        data = np.frombuffer(raw.translate(_LOWER) + bytes(8), dtype=np.uint8)
+        self.bytes, self.lowered = raw, raw.translate(_LOWER)
+        data = np.frombuffer(self.lowered + bytes(8), dtype=np.uint8)
         size = len(raw)
         inside = ~_BLANK[data[:size]]
         before = np.zeros(size, dtype=bool)
