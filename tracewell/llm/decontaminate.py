@@ -82,9 +82,11 @@ class Templates:
         value = words._hash(lowered)
         one, two = raw[starts], raw[np.minimum(starts + 1, len(raw) - 1)]
         digit = (one >= 48) & (one <= 57) | np.isin(one, list(b"$+-")) & (two >= 48) & (two <= 57)
-        third = raw[np.minimum(starts + 2, len(raw) - 1)]
-        small = lambda x: (x >= 97) & (x <= 122) | (x == 0xC3)  # noqa: E731 - a text in capitals has no names
-        capital = (one >= 65) & (one <= 90) & small(two) | (one == 0xC3) & (two >= 0x80) & (two <= 0x9E) & small(third)
+        # a name begins with a capital and has a small letter: a text all in capitals has no names
+        small = (raw[1:] >= 97) & (raw[1:] <= 122) | (raw[:-1] == 0xC3) & (raw[1:] >= 0xA0) & (raw[1:] <= 0xBE)
+        smalls = np.concatenate([[0, 0], np.cumsum(small, dtype=np.int32)])
+        capital = (one >= 65) & (one <= 90) | (one == 0xC3) & (two >= 0x80) & (two <= 0x9E)
+        capital &= smalls[ends] > smalls[starts]
         lines = np.searchsorted(np.flatnonzero(raw == 10), starts)
         begins = np.ones(len(starts), dtype=bool)
         begins[1:] = _STOP[last[:-1]] | (lines[1:] != lines[:-1])
