@@ -145,8 +145,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit(1, counted(bad, first, lambda text: F.lit(0), "delete"))
     moved = documents.filter("lang <> 'en'")
     rollup.commit(2, counted(moved, second, TOKENIZERS[second]).unionByName(counted(moved, first, lambda text: F.lit(0), "delete")))
-    revised = documents.filter("lang = 'en'").withColumn("text", F.translate("text", "|", " "))
-    changes = counted(revised.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_anti"), first, TOKENIZERS[first], "revise")
+    revised = counted(documents.filter("lang = 'en'").withColumn("text", F.translate("text", "|", " ")), first, TOKENIZERS[first], "revise")
+    # joined after counting, and not as an anti-join, which Spark would move below the counting: texts aren't shuffled
+    gone = labels.filter("quality = 0").select("doc_id", F.lit(True).alias("gone")).distinct()
+    changes = revised.join(gone, "doc_id", "left").filter("gone IS NULL").drop("gone")
     rollup.commit(3, changes)
     rollup.commit(3, changes)
     return rollup.totals()
