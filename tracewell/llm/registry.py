@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, language, mixing, neardup, quality, rollup, toxicity
+from tracewell.llm import chat, decontaminate, language, mixing, neardup, passages, quality, rollup, toxicity
 
-_MODULES = [rollup, chat, language, decontaminate, toxicity, quality, neardup, mixing]
+_MODULES = [rollup, chat, language, decontaminate, toxicity, quality, neardup, passages, mixing]
 
 
 def queries() -> dict:
