@@ -11,8 +11,8 @@ Jaccard similarity.  Steps:
    bucket of thousands gives thousands of pairs, not millions.
 4. The likelihood of the joint registers estimates each pair's similarity (the set sizes are known); pairs well below
    the threshold go.  The others are verified on the full sets, which a second pass makes for the classes concerned.
-5. Components of the verified links.  Buckets that still hold several components are compared in full, but only across
-   components, so no candidate pair that could join two components is left out.
+5. Components of the verified links.  In buckets that still hold several components, all members of different
+   components are compared (see ``crowds``), so no candidate pair that could join two components is left out.
 
 At a similarity of exactly 0.8 a pair shares a bucket with a probability of 0.99998.
 
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.crowds import SMALL, crowded_links, mixed_members, small_pairs
 from tracewell.llm.tables import stored, table
 from tracewell.llm.wordbatch import Words, binaries, mix, shingle_sets, slices
 from tracewell.operators.components import star_edges
@@ -42,8 +43,8 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Base of the registers, and the scale at which register values of a single shingle lie around 17.
 B, A = 1.2, 20.0
-#: Pairs whose estimate lies this much below the threshold are not verified: five standard deviations at M registers.
-SLACK = 5 * (0.8 * 0.2 / M) ** 0.5
+#: Pairs whose estimate lies this much below the threshold are not verified: three and a half standard deviations at M registers.
+SLACK = 3.5 * (0.8 * 0.2 / M) ** 0.5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,10 +140,10 @@ def classes_of(sketches: DataFrame) -> DataFrame:
         "node", "n_shingles", "first.registers", "first.doc_id")
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """(bucket, node): a row for each band of a class."""
+def banded(classes: DataFrame, *more: str) -> DataFrame:
+    """(bucket, node, more): a row for each band of a class."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, F.lit(ROWS))))
-    return classes.select(F.explode(keys).alias("bucket"), "node")
+    return classes.select(F.explode(keys).alias("bucket"), "node", *more)
 
 
 def star_pairs(bands: DataFrame) -> DataFrame:
@@ -151,16 +152,6 @@ def star_pairs(bands: DataFrame) -> DataFrame:
     return bands.join(least, "bucket").filter("node > a").select("a", F.col("node").alias("b")).distinct()
 
 
-def cross_pairs(bands: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): classes that share a bucket and lie in different components; ``roots`` has (node, root) of linked classes."""
-    named = bands.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    left = named.join(mixed, "bucket", "left_semi")
-    right = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    return left.join(right, "bucket").filter("root < root_b").select(
-        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-
-
 def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose registers do not exclude the similarity."""
     line = percent / 100 - SLACK
@@ -195,26 +186,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return full.select("a", "b", "set_a", "set_b").mapInArrow(judge, "a binary, b binary")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links among candidate pairs; the sets are made for the documents that stand for the classes concerned."""
-    likely_pairs = stored(likely(pairs, classes, percent), "near-pairs")
-    wanted = likely_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = classes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+def _sets_for(nodes: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """node, elements of the given nodes, from the documents that stand for them."""
+    ids = classes.join(nodes.distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
     texts = documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return stored(verified(likely_pairs, sets_of(texts, width), percent), "near-links")
+    return sets_of(texts, width)
 
 
 def linked_documents(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``documents``."""
     sketches = stored(sketched(documents, width), "near-sketches")
     classes = stored(classes_of(sketches), "near-classes")
-    bands = banded(classes)
-    links = _links(star_pairs(bands), classes, documents, width, percent)
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = stored(likely(star_pairs(banded(classes)), classes, percent), "near-pairs")
+    sets = _sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, documents, width)
+    edges = stored(verified(pairs, sets, percent), "near-links").toDF("u", "v")
     roots = star_edges(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    more = _links(cross_pairs(bands, roots), classes, documents, width, percent)
-    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    edges = known.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stored(mixed_members(banded(rooted, "root")), "near-members")
+    few = stored(likely(small_pairs(members), classes, percent), "near-few")
+    wanted = members.filter(F.col("n") > SMALL).select("node").unionByName(few.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = stored(_sets_for(wanted, classes, documents, width), "near-sets")
+    more = verified(few, sets, percent).toDF("u", "v").unionByName(crowded_links(members, sets, percent))
+    edges = roots.toDF("u", "v").unionByName(more)
     roots = star_edges(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

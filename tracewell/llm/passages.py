@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.neardup import cross_pairs, star_pairs
+from tracewell.llm.crowds import crowded_links, mixed_members, small_pairs
+from tracewell.llm.neardup import star_pairs
 from tracewell.llm.tables import stored, table
 from tracewell.llm.wordbatch import Words, binaries, distinct_sorted, mix, shingles, slices, within
 from tracewell.operators.components import star_edges
@@ -270,7 +271,10 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     sets = known.filter(F.col("kind") == _SET)
     links = stored(similar_lines(star_pairs(bands), sets), "passage-links").toDF("u", "v")
     roots = star_edges(links).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    more = similar_lines(cross_pairs(bands, roots), sets).toDF("u", "v")
+    rooted_bands = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stored(mixed_members(rooted_bands), "passage-members")
+    elements = sets.select(F.col("key").alias("node"), F.col("words").alias("elements"))
+    more = similar_lines(small_pairs(members), sets).toDF("u", "v").unionByName(crowded_links(members, elements, PERCENT))
     edges = roots.toDF("u", "v").unionByName(more)
     roots = star_edges(edges).select(F.col("a").alias("key"), F.col("b").alias("root"))
     rooted = classes.select("key", "doc_id", "pos").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
