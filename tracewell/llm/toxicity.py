@@ -103,15 +103,18 @@ def grammar() -> Transducer:
     return reduce(Transducer.compose, [insult, threat, target, negation, _rest_of_clause(SAID, 0.6)])
 
 
-def _sample(rows: DataFrame, size: int) -> DataFrame:
-    """About ``size`` rows, chosen by a hash of the id; all if there are fewer.  Rows stay where they are."""
-    share = min(1.0, size / max(1, rows.select("doc_id").count()))
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+def _sample(documents: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """text and toxic of about ``size`` labelled documents, chosen by a hash of the id; all if there are fewer.
 
+    The sample is drawn from the labels, so its ids have a fixed bound and are broadcast: no text is shuffled.
+    """
+    share = min(1.0, size / max(1, labels.count()))
+    chosen = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+    return documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").filter("text IS NOT NULL")
 
-def lexicon(labelled: DataFrame) -> list[tuple[str, bool, float]]:
+
+def lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     """(entry, is_prefix, weight) from texts with a column ``toxic``."""
-    sample = _sample(labelled.filter("text IS NOT NULL AND toxic IS NOT NULL"), SAMPLE)
     words = sample.select("toxic", F.monotonically_increasing_id().alias("i"), F.explode(
         F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
     whole = words.select("toxic", "i", F.col("word").alias("entry"), F.lit(False).alias("prefix"))
@@ -217,19 +220,19 @@ def matched(documents: DataFrame, entries: list[tuple[str, bool, float]], weight
         score, f"{kept}, score double, predicted int, n_clauses bigint, evidence double, n_words bigint")
 
 
-def learned(labelled: DataFrame) -> tuple[list[tuple[str, bool, float]], tuple[float, ...]]:
+def learned(documents: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool, float]], tuple[float, ...]]:
     """Lexicon and logistic weights; a text serves one of the two."""
     third = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) == 0
-    entries = lexicon(labelled.filter(~third))
-    other = _sample(labelled.filter(third & F.col("toxic").isNotNull()), CALIBRATION)
-    seen = matched(other.withColumn("toxic", F.col("toxic").cast("int")), entries, keep=("toxic",)).toPandas()
+    known = labels.filter("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    entries = lexicon(_sample(documents, known.filter(~third), SAMPLE))
+    seen = matched(_sample(documents, known.filter(third), CALIBRATION), entries, keep=("toxic",)).toPandas()
     return entries, fitted(seen["evidence"].to_numpy(float), seen["n_words"].to_numpy(float), seen["toxic"].to_numpy(float))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     training = table(spark, sf_dir, "labels").filter(crc_fold(F.col("doc_id"), _FOLDS) != _HELD).select("doc_id", "toxic")
-    entries, weights = learned(documents.select("doc_id", "text").join(training, "doc_id"))
+    entries, weights = learned(documents, training)
     return matched(documents, entries, weights).select(
         "doc_id", (crc_fold(F.col("doc_id"), _FOLDS) == _HELD).alias("held_out"), "score", "predicted", "n_clauses")
 
