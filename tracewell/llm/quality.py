@@ -133,7 +133,10 @@ def judged(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def kept_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``documents`` that pass, with the columns they came with."""
-    return judged(documents, rules).filter("kept").select(*(f"`{c}`" for c in documents.columns))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    # as the output of a generator the verdict is computed once: a filter on the column itself would be moved below the
+    # projections, and every step of the verdict written out in it again and again
+    return judged(documents, rules).select(*columns, F.explode(F.array("kept")).alias("_kept")).filter("_kept").drop("_kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
