@@ -57,6 +57,15 @@ def test_encoded_command_is_decoded_twice(spark):
     assert deep.source == "cmd:decoded_ps:decoded_ps" and deep.tags == ["network", "encoded-command", "encoded-command"]
 
 
+def test_commands_are_decoded_however_deep(spark):
+    text, rows = "curl http://deep.test/x", []
+    for depth in range(1, 7):
+        text = "powershell -enc " + base64.b64encode(text.encode("utf-16-le")).decode()
+        rows.append((depth, text))
+    found = ioc.extract_iocs(spark.createDataFrame(rows, "id int, t string"), ["t"], ["id"]).filter("type = 'url'").collect()
+    assert {(r.id, r.value, r.source.count(":decoded_ps")) for r in found} == {(d, "http://deep.test/x", d) for d in range(1, 7)}
+
+
 def test_broken_units_and_padding_are_ignored(spark):
     data = base64.b64encode("http://ok.test/p".encode("utf-16-le") + b"\x00\xd8" + " end".encode("utf-16-le")).decode().rstrip("=")
     rows = _found(spark, f"x -enc {data}", "x -enc " + "A" * 21)

@@ -187,7 +187,7 @@ def coerce_domain(col: Column) -> Column:
 
 def _coerce_hash(col: Column, name: str, digits: int) -> Column:
     text = F.trim(col.cast("string"))
-    body = F.when(F.startswith(F.upper(text), F.lit(name + "=")), F.trim(F.substring(text, len(name) + 2, 1 << 20)))
+    body = F.when(F.startswith(F.upper(text), F.lit(name + "=")), F.trim(F.substr(text, F.lit(len(name) + 2))))
     body = F.coalesce(body, text)
     return F.when(body.rlike(rf"^[0-9A-Fa-f]{{{digits}}}$"), F.lower(body))
 

@@ -45,7 +45,7 @@ def _signature(edges: DataFrame) -> tuple:
     return row["n"], row["h"], row["g"]
 
 
-def star_edges(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def star_edges(edges: DataFrame) -> DataFrame:
     """Edges (u, v) contracted to one edge from every node to its component's smallest node.
 
     Alternating large-star and small-star steps; the number of rounds grows with
@@ -54,26 +54,22 @@ def star_edges(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     current = durable(_simple(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))))
     before = _signature(current)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         current = durable(_simple(_small_star(_simple(_large_star(current)))))
         now = _signature(current)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return current
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component) for every node; the component is named by its smallest id.
 
     ``edges`` has columns u and v; ``nodes`` has the column id.  Nodes without
     edges are components of their own.
     """
-    stars = star_edges(edges, max_rounds)
+    stars = star_edges(edges)
     return nodes.select("id").distinct().join(
         stars.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left"
     ).select("id", F.coalesce("root", "id").alias("component"))

@@ -29,13 +29,12 @@ def observed_indicators(events: DataFrame, iocs: DataFrame | None = None) -> Dat
 def _matching(values: DataFrame, indicators: DataFrame) -> DataFrame:
     """Pairs (value, indicator) where the value ends with the indicator.
 
-    Both sides are dictionaries.  A value is cut at the lengths that occur among
-    the indicators -- at most as many as the longest name has letters -- and the
-    cuts are joined by equality.
+    Both sides are dictionaries.  A value is cut at each of its letters, cuts of
+    lengths that no indicator has go, and the others are joined by equality.
     """
-    lengths = [r[0] for r in indicators.select(F.length("indicator")).distinct().collect() if r[0]]
-    cuts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("value"))
-    suffixes = values.select("value", F.explode(cuts).alias("n")).select(
+    lengths = indicators.select(F.length("indicator").alias("n")).distinct()
+    cuts = values.filter(F.length("value") > 0).select("value", F.explode(F.sequence(F.lit(1), F.length("value"))).alias("n"))
+    suffixes = cuts.join(lengths, "n", "left_semi").select(
         "value", F.substring(F.col("value"), F.length("value") - F.col("n") + 1, F.col("n")).alias("indicator"))
     return suffixes.join(indicators, "indicator").select("value", "indicator")
 
@@ -137,8 +136,8 @@ def hunt_sequence(events: DataFrame, first: str, second: str, within_seconds: fl
     ).select("host", F.col("before_id").alias("first_event_id"), F.col("event_id").alias("second_event_id"), "timestamp")
 
 
-def recent(events: DataFrame, as_of: Column | str, days: int = 7, limit: int | None = 500) -> DataFrame:
-    """Events of the last days, newest first, cut to the size a hunt shows (H7)."""
+def recent(events: DataFrame, as_of: Column | str, days: int = 7, limit: int | None = None) -> DataFrame:
+    """Events of the last days, newest first, all or the first ``limit`` (H7)."""
     now = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     rows = events.filter((F.col("timestamp") >= now - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col("timestamp") <= now))
     rows = rows.orderBy(F.desc("timestamp"), F.desc("seq"))

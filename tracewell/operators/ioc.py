@@ -8,6 +8,7 @@ on those rows.  Removing duplicates shuffles indicators, never texts.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions.text import let, python_regex
-from tracewell.session import spread
 
 _HASHES = ["sha1", "sha256", "sha512", "md5", "jarm"]
 _HASH_LENGTH = {"md5": 32, "sha1": 40, "sha256": 64, "jarm": 62}
 _CONTEXT_ORDER = {"ja3": 100, "imphash": 110, "ssdeep": 120, "tlsh": 130, "process": 140, "user": 150}
 _DECODED_ORDER, _CRADLE_ORDER, _AMSI_ORDER = 200, 300, 310
-_MAX_DEPTH = 2
+# base64 of UTF-16: a decoded text has at most 3/8 of the letters of its argument
+_SHRINK = 8 / 3
 
 
 def refang(text: Column) -> Column:
@@ -54,23 +55,28 @@ def decoded_commands(text: Column) -> Column:
 
 
 def _with_texts(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """Rows (keep, text, refanged, depth, path): the row's own text and those decoded from it."""
-    entry = lambda t, path, depth: F.struct(
-        t.alias("text"), path.alias("path"), F.lit(depth).alias("depth")
-    )
-
-    def decoded_at(depth: int) -> Column:
-        return F.flatten(F.transform(
-            F.filter(F.col("texts"), lambda e: e["depth"] == depth - 1),
-            lambda e: F.transform(
-                decoded_commands(refang(e["text"])),
-                lambda t, i: entry(t, F.concat(e["path"], F.array(F.lit(_DECODED_ORDER), i)), depth),
-            ),
-        ))
+    """Rows (keep, text, refanged, depth, path): the row's own text and those decoded from it, however deep.
 
-    level = df.select(*keep, F.array(entry(text, F.array().cast("array<int>"), 0)).alias("texts"))
-    for depth in range(1, _MAX_DEPTH + 1):
-        level = level.withColumn("texts", F.concat("texts", decoded_at(depth)))
+    Every level is shorter by the factor ``_SHRINK`` at least, so the length of a text bounds the levels it can hold; a
+    text without an argument has none.
+    """
+    entry = lambda t, path, depth: F.struct(t.alias("text"), path.alias("path"), depth.alias("depth"))
+
+    def decoded(front: Column, depth: Column) -> Column:
+        return F.flatten(F.transform(front, lambda e: F.transform(
+            decoded_commands(refang(e["text"])),
+            lambda t, i: entry(t, F.concat(e["path"], F.array(F.lit(_DECODED_ORDER), i)), depth))))
+
+    def deeper(found: Column, depth: Column) -> Column:
+        return F.struct(F.concat(found["every"], found["front"]).alias("every"), decoded(found["front"], depth).alias("front"))
+
+    own = F.array(entry(F.col("_own"), F.array().cast("array<int>"), F.lit(0)))
+    start = F.struct(F.filter(own, lambda e: F.lit(False)).alias("every"), own.alias("front"))
+    levels = F.floor(F.log(F.length("_own")) / math.log(_SHRINK)).cast("int")
+    steps = F.when(F.contains(F.lower("_own"), F.lit("-en")) & (levels > 0), F.sequence(F.lit(1), levels)).otherwise(
+        F.array().cast("array<int>"))
+    texts = F.aggregate(steps, start, deeper, lambda found: F.concat(found["every"], found["front"]))
+    level = df.select(*keep, text.alias("_own")).select(*keep, texts.alias("texts"))
     return level.select(*keep, F.explode("texts").alias("t")).select(
         *keep, F.col("t.text").alias("text"), refang(F.col("t.text")).alias("clean"),
         F.col("t.path").alias("path"), F.col("t.depth").alias("depth"),
@@ -272,7 +278,7 @@ def extract_iocs(
     within that scope instead; ``None`` keeps every match.
     """
     src = source if isinstance(source, Column) else F.lit(source)
-    rows = spread(df.select(*id_cols, F.concat_ws("\n", *text_cols).alias("_text"), src.alias("_source")))
+    rows = df.select(*id_cols, F.concat_ws("\n", *text_cols).alias("_text"), src.alias("_source"))
     texts = _with_texts(rows, F.col("_text"), [*id_cols, "_source"])
     c = F.col("clean")
     has = {

@@ -10,7 +10,6 @@ from tracewell.ext import custom_sources
 from tracewell.functions import coerce
 from tracewell.functions.text import non_empty
 from tracewell.schema import EVENT_COLUMNS, complete_events
-from tracewell.session import spread
 from tracewell.sources.mappings import DETECTION, HASH_LISTS, MAPPINGS, case_of, get, key_values
 
 _SPACE = " \t\n\r\x0b\x0c"
@@ -74,7 +73,7 @@ def normalize(
         parser = "generic"
     ingest = F.lit(None) if ingest_ts is None else ingest_ts if isinstance(ingest_ts, Column) else F.lit(ingest_ts)
     ingest = ingest.cast("timestamp")
-    step = parse_records(spread(df))
+    step = parse_records(df)
     record = F.col("record")
     mappings = {n: MAPPINGS[n] for n in V.SOURCES} | {n: s.mapping for n, s in known.items()}
     if parser is None:
@@ -94,7 +93,7 @@ def normalize(
         branches = [(i, mappings[n][target]) for i, n in enumerate(names) if target in mappings[n]]
         return case_of(branches, record, "int" if target == "class_uid" else "string")
 
-    carried = [c for c in ("seq", "incident_id", "file") if c in df.columns]
+    carried = [c for c in ("seq", "incident_id", "file", "occurrence") if c in df.columns]
     keys = time_keys or V.TIME_KEYS
     own_type = [(i, mappings[n]["source_type"]) for i, n in enumerate(names) if "source_type" in mappings[n]]
     mapped = step.select(
@@ -114,10 +113,10 @@ def normalize(
         return F.nullif(F.btrim(col, F.lit(_SPACE)), F.lit("")).alias(target)
 
     time = F.coalesce(*[coerce.parse_iso(F.col(f"_t{i}")) for i in range(len(keys))], ingest).alias("timestamp")
-    identity = [F.col(c).cast("string") for c in ("file", "seq") if c in df.columns]
+    identity = [F.col(c).cast("string") for c in ("file", "occurrence" if "occurrence" in df.columns else "seq") if c in df.columns]
     out = mapped.select(
         F.sha2(F.concat_ws("|", *identity, "raw_data"), 256).alias("event_id"), "source_type", "raw_data",
-        time, *[c for c in carried if c != "file"], *[finished(t) for t in _MAPPED],
+        time, *[c for c in carried if c not in ("file", "occurrence")], *[finished(t) for t in _MAPPED],
     )
     return complete_events(out)
 
@@ -125,15 +124,12 @@ def normalize(
 # ---------------------------------------------------------------- after normalization
 
 
-def apply_skew(events: DataFrame, offsets: DataFrame, default: float = 0.0, broadcast_rows: int = 1_000_000) -> DataFrame:
+def apply_skew(events: DataFrame, offsets: DataFrame, default: float = 0.0) -> DataFrame:
     """Move times by the clock offset of their host, or by ``default`` seconds.
 
-    ``offsets`` has host and offset_seconds, one row per host.  It is broadcast
-    only if a count shows that it is small; otherwise Spark chooses the join.
+    ``offsets`` has host and offset_seconds, one row per host; Spark chooses the join.
     """
     table = offsets.select("host", F.col("offset_seconds").cast("double").alias("_skew"))
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        table = F.broadcast(table)
     moved = F.timestamp_micros(
         F.unix_micros("timestamp") + F.round(F.coalesce("_skew", F.lit(float(default))) * 1000000).cast("bigint")
     )

@@ -34,15 +34,16 @@ def parsed_raw(hits: DataFrame) -> DataFrame:
 
 
 def search(
-    events: DataFrame, query: str, fields: list[str] | None = None, limit: int = V.SEARCH_LIMIT
+    events: DataFrame, query: str, fields: list[str] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Newest events with ``query`` in any of ``fields`` (P1); the limit is part of the search."""
+    """Newest events with ``query`` in any of ``fields`` (P1), all of them or the ``limit`` newest."""
     fields = fields or V.SEARCH_FIELDS
     unknown = set(fields) - set(EVENT_COLUMNS)
     if unknown:
         raise ValueError(f"unknown fields: {sorted(unknown)}")
     hit = reduce(lambda a, b: a | b, [contains_pattern(F.col(f), query) for f in fields])
-    return shape_hits(events.filter(hit).orderBy(F.desc("timestamp"), "event_id").limit(limit))
+    hits = events.filter(hit).orderBy(F.desc("timestamp"), "event_id")
+    return shape_hits(hits if limit is None else hits.limit(limit))
 
 
 def pivot(events: DataFrame, by: str, value: str, ordered: bool = True) -> DataFrame:

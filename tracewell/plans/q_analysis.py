@@ -426,7 +426,7 @@ _add(
     oracle(
         "SELECT 'all' AS incident_id, arg_min(seq, (timestamp, seq)) AS start_seq, arg_min(n, (timestamp, seq)) AS n, "
         "count(*) AS dense_starts FROM (SELECT seq, timestamp, count(*) OVER (ORDER BY timestamp RANGE BETWEEN CURRENT ROW "
-        f"AND INTERVAL {_DENSE_SECONDS} SECONDS FOLLOWING) AS n FROM sec_events) WHERE n >= 60"
+        f"AND INTERVAL {_DENSE_SECONDS} SECONDS FOLLOWING) AS n FROM sec_events) WHERE n >= 60 HAVING count(*) > 0"
     ),
 )
 

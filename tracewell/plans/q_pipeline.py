@@ -79,25 +79,36 @@ def syslog_stream(s, d):
 
 
 def dedupe_alerts_stream(s, d):
-    return drained(s, ingest.dedupe_alerts_stream(alert_records(streamed(s, d), d), "90 days", q_normalize.INGEST)).select("id")
+    folder = scratch(s)
+    documents = alert_records(streamed(s, d), d)
+    ingest.dedupe_alerts_stream(documents, f"{folder}/out", f"{folder}/log", q_normalize.INGEST).awaitTermination()
+    # late ones, future ones and known ones in a second run: those that are new are stored, none twice
+    late = alert_records(s, d).filter("seq % 7 = 0").withColumn("raw", F.concat(F.lit('{"id": "b'), F.col("seq"), F.lit('", "timestamp": "'), F.expr("1990 + seq % 60"), F.lit('-01-01T00:00:00Z"}')))
+    late.unionByName(alert_records(s, d)).write.parquet(f"{folder}/in2")
+    again = s.readStream.schema(late.schema).parquet(f"{folder}/in2")
+    ingest.dedupe_alerts_stream(again, f"{folder}/out", f"{folder}/log2", q_normalize.INGEST, first_batch=1).awaitTermination()
+    return s.read.parquet(f"{folder}/out").select("id")
 
 
 def watch_directory(s, d):
-    """Raw records written as log files, picked up by the folder stream, normalized."""
+    """Raw records written twice as log files, picked up by the folder stream, normalized, stored: equal lines stay apart."""
     folder = scratch(s)
-    q_normalize.records_of(s, d, "sysmon").select("raw_data").write.text(f"{folder}/in")
+    records = q_normalize.records_of(s, d, "sysmon").select("raw_data")
+    records.unionAll(records).repartition(4).write.text(f"{folder}/in")
     lines = ingest.watch_directory(s, f"{folder}/in", glob="*.txt", max_files=2)
-    events = drained(s, ingest.normalize_stream(lines))
+    ingest.store_lines_stream(lines, f"{folder}/store", f"{folder}/log").awaitTermination()
+    events = sinks.read_events(s, f"{folder}/store")
     return events.groupBy("source_type", "class_uid", "host").agg(F.count(F.lit(1)).alias("n"))
 
 
 _add("normalize_stream", normalize_stream, q_normalize.ORACLES["normalize_records"])
 _add("syslog_stream", syslog_stream, q_normalize.ORACLES["syslog_lines"])
 _add("dedupe_alerts_stream", dedupe_alerts_stream,
-     f"WITH {BASE_CTE} SELECT DISTINCT 'a' || CAST(i % 500 AS VARCHAR) AS id FROM base WHERE event_type = 'error'")
+     f"WITH {BASE_CTE} SELECT DISTINCT 'a' || CAST(i % 500 AS VARCHAR) AS id FROM base WHERE event_type = 'error' "
+     "UNION ALL SELECT 'b' || CAST(i AS VARCHAR) FROM base WHERE event_type = 'error' AND i % 7 = 0")
 _SYSMON = q_normalize.SHAPES["sysmon"][1]
 _add("watch_directory", watch_directory,
-     f"WITH {BASE_CTE} SELECT 'sysmon' AS source_type, {_SYSMON['class_uid']} AS class_uid, {_SYSMON['host']} AS host, count(*) AS n "
+     f"WITH {BASE_CTE} SELECT 'sysmon' AS source_type, {_SYSMON['class_uid']} AS class_uid, {_SYSMON['host']} AS host, 2 * count(*) AS n "
      "FROM base GROUP BY 1, 2, 3")
 
 # ------------------------------------------------------------------ stored events

@@ -61,17 +61,3 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, few: int = 64) -> DataFrame:
-    """Deal a small batch input over all cores before work that costs much per row.
-
-    A table in one small file is one task, however many cores wait.  Inputs of
-    ``few`` partitions and more -- everything large -- are left as they are, so no
-    large table is ever shuffled for this.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
-    return df.repartition(min(cores, few)) if parts < min(cores, few) else df

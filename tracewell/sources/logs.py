@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,17 @@ def keep_lines(df: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, path: str, glob: str = _LINE_FILES) -> DataFrame:
     """One row per non-blank line (S1); large files are split, so one file is many tasks."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return keep_lines(_with_file(reader.text(path)))
+    return numbered(keep_lines(_with_file(reader.text(path))))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """With ``occurrence``: the how-manieth of the equal lines of its file a line is.
+
+    Equal lines are interchangeable, so (file, line, occurrence) names a record whatever splits a file was read in; the
+    same file read twice gives the same names.
+    """
+    order = Window.partitionBy("file", F.xxhash64("raw_data"), F.xxhash64(F.lit(1), "raw_data")).orderBy("seq")
+    return lines.withColumn("occurrence", F.row_number().over(order))
 
 
 def explode_documents(df: DataFrame) -> DataFrame:
@@ -46,11 +56,11 @@ def explode_documents(df: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, glob: str = _DOCUMENT_FILES) -> DataFrame:
     """Records of ``.json`` files, each of which is one document."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return explode_documents(_with_file(reader.text(path, wholetext=True)))
+    return numbered(explode_documents(_with_file(reader.text(path, wholetext=True))))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All logs below a folder, or one file (S3): (raw_data, file, file_name, seq).
+    """All logs below a folder, or one file (S3): (raw_data, file, file_name, seq, occurrence).
 
     Order by (file, seq) to walk through the files as they stand.
     """
@@ -58,10 +68,10 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Alert documents of a file or folder: (raw, seq), for normalize_alerts."""
+    """Alert documents of a file or folder: (raw, seq), for normalize_alerts (S4); ``seq`` orders by file, then position."""
     lines = read_lines(spark, path, "*.{jsonl,ndjson}")
     docs = read_documents(spark, path)
-    return lines.unionByName(docs).select(F.col("raw_data").alias("raw"), "seq")
+    return lines.unionByName(docs).select(F.col("raw_data").alias("raw"), F.struct("file", "seq").alias("seq"))
 
 
 def parse_syslog(df: DataFrame, column: str = "value") -> DataFrame:

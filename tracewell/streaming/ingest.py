@@ -1,7 +1,6 @@
 """Streams: folders, syslog, normalization, alert deduplication, event store.
 
-The transformations are those of the batch operators; only sources, the bounded
-deduplication and the sink differ.
+The transformations are those of the batch operators; only sources and sinks differ.
 """
 
 from __future__ import annotations
@@ -10,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewell.operators.alerts import normalize_alerts
+from tracewell.operators.alerts import dedupe_alerts, normalize_alerts
 from tracewell.operators.normalize import normalize
-from tracewell.sources.logs import keep_lines, parse_syslog
+from tracewell.sources.logs import keep_lines, numbered, parse_syslog
 from tracewell.sources.sinks import write_events
 
 
@@ -40,19 +39,55 @@ def syslog_stream(lines: DataFrame, column: str = "value", ingest_ts: Column | s
     return normalize_stream(parse_syslog(lines, column), ingest_ts=ingest_ts)
 
 
-def dedupe_alerts_stream(documents: DataFrame, delay: str = "1 day", ingest_ts: Column | str | None = None) -> DataFrame:
-    """Alerts from a stream of (raw) documents, one per id within ``delay`` (T4).
+def _started(writer, checkpoint: str, available_now: bool, interval: str) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def dedupe_alerts_stream(
+    documents: DataFrame, path: str, checkpoint: str, ingest_ts: Column | str | None = None, available_now: bool = True,
+    interval: str = "10 seconds", first_batch: int = 0,
+) -> StreamingQuery:
+    """Store the alerts of a stream of (raw) documents, the first of every id for good (T4).
+
+    Every micro-batch is compared with the ids stored before it, whatever times the alerts carry, so none is lost for
+    being late and no id comes twice.  A repeated micro-batch rewrites its own folder.  A stream with a new checkpoint
+    goes on in the same store with ``first_batch`` beyond the batches that are there.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark, number = batch.sparkSession, number + first_batch
+        alerts = normalize_alerts(batch, F.current_timestamp() if ingest_ts is None else ingest_ts)
+        order = "seq" if "seq" in alerts.columns else "timestamp"
+        alerts = dedupe_alerts(alerts, order)
+        if number > 0:
+            known = spark.read.schema("id string, batch bigint").parquet(path).filter(F.col("batch") < number)
+            alerts = alerts.join(known.select("id"), "id", "left_anti")
+        alerts.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    State is kept for the delay and no longer; a repeated id beyond it is a new alert.
+    return _started(documents.writeStream.foreachBatch(store), checkpoint, available_now, interval)
+
+
+def store_lines_stream(
+    lines: DataFrame, path: str, checkpoint: str, parser: str | None = None, ingest_ts: Column | str | None = None,
+    available_now: bool = True, interval: str = "10 seconds",
+) -> StreamingQuery:
+    """Normalize and store a stream of whole files' lines.
+
+    A file arrives in one micro-batch, where its equal lines are numbered: each is an event of its own.
     """
-    ingest = F.current_timestamp() if ingest_ts is None else ingest_ts
-    return normalize_alerts(documents, ingest).withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])
+
+    def store(batch: DataFrame, number: int) -> None:
+        rows = numbered(batch.withColumn("seq", F.monotonically_increasing_id()))
+        ingest = F.current_timestamp() if ingest_ts is None else ingest_ts
+        write_events(normalize(rows, parser=parser, ingest_ts=ingest), path, number)
+
+    return _started(lines.writeStream.foreachBatch(store), checkpoint, available_now, interval)
 
 
 def upsert_events_stream(
     events: DataFrame, path: str, checkpoint: str, available_now: bool = True, interval: str = "10 seconds"
 ) -> StreamingQuery:
     """Store a stream of events by id (T5); a repeated micro-batch rewrites its own folder."""
-    writer = events.writeStream.foreachBatch(lambda batch, number: write_events(batch, path, number)).option(
-        "checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+    writer = events.writeStream.foreachBatch(lambda batch, number: write_events(batch, path, number))
+    return _started(writer, checkpoint, available_now, interval)
