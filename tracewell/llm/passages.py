@@ -251,9 +251,9 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc_id, begin, end (in words) of what repeats text that stays elsewhere."""
     found = stored(units(documents), "passage-units", "line")
     place = F.struct("doc_id", "pos")
-    blocks = found.filter("NOT line")
+    blocks = found.filter("NOT line").select("key", "doc_id", "pos")
     firsts = blocks.groupBy("key").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("key", "keep")
-    twice = blocks.join(firsts, "key").select("doc_id", F.lit(False).alias("line"), "pos", "n", "key", "keep.*")
+    twice = blocks.join(firsts, "key").select("doc_id", F.lit(False).alias("line"), "pos", F.lit(BLOCK).alias("n"), "key", "keep.*")
     twice = twice.toDF("doc_id", "line", "pos", "n", "key", "keep_doc", "keep_pos")
 
     paragraphs = found.filter("line")

@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read again: later work doesn't hang on executors that may be lost."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(folder)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
