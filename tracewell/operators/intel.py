@@ -37,7 +37,7 @@ _ONLINE = f"exists({_URLS}, u -> coalesce(try_variant_get(u, '$.url_status', 'st
 _ITEM = "data/0"
 _LEVEL = _double("data[0].confidence_level", 50)
 _VULNS = _array("vulns")
-_PULSES = f"slice({_array('pulse_info.pulses', 'variant')}, 1, 5)"
+_PULSES = _array("pulse_info.pulses", "variant")
 _PULSE_COUNT = _double("pulse_info.count")
 _CLASS = f"coalesce({pick('classification')}, 'unknown')"
 _RIOT = "coalesce(try_variant_get(record, '$.riot', 'boolean'), false)"

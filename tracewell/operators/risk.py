@@ -94,6 +94,8 @@ def event_rules(events: DataFrame, dc_words: list[str] | None = None) -> DataFra
     ).select("incident_id", "r.rule_id", "timestamp", "seq", "event_id", "r.detail")
 
 
+# letters of the list of tools that a text shows
+_TEXT = 60
 # rules whose evidence is the first three events; the others show one
 _THREE = ["discovery_activity", "lateral_movement", "multiple_failed_logins"]
 
@@ -107,15 +109,19 @@ def _event_factors(hits: DataFrame) -> DataFrame:
         F.min(F.when(F.col("rn") == 1, F.col("detail"))).alias("first_detail"),
         F.array_sort(F.collect_list(F.struct("rn", "event_id"))).alias("firsts"),
     )
-    # names and hosts are few next to events, and a set is merged before the shuffle
-    wide = hits.filter(F.col("rule_id").isin(_THREE)).groupBy("incident_id", "rule_id").agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(non_empty(F.col("detail")))).alias("names"),
-    )
-    joined = top.join(wide, ["incident_id", "rule_id"], "left")
-    hosts = F.size("names")
+    # distinct names are counted as rows; only as many as the text can show are put in a list
+    key = ["incident_id", "rule_id"]
+    three = hits.filter(F.col("rule_id").isin(_THREE))
+    names = three.select(*key, non_empty(F.col("detail")).alias("name")).filter("name IS NOT NULL").distinct()
+    shown = names.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("name"))).filter(F.col("k") <= _TEXT)
+    shown = shown.groupBy(*key).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    wide = three.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(
+        names.groupBy(*key).agg(F.count(F.lit(1)).alias("hosts")), key, "left").join(shown, key, "left")
+    joined = top.join(wide, key, "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    hosts = F.coalesce("hosts", F.lit(0))
     detail = (
         F.when(F.col("rule_id") == "discovery_activity",
-               F.concat(F.lit("Discovery tools: "), F.substring(F.array_join("names", ", "), 1, 60)))
+               F.concat(F.lit("Discovery tools: "), F.substring(F.array_join("names", ", "), 1, _TEXT)))
         .when(F.col("rule_id") == "lateral_movement",
               F.concat(F.lit("Authentication events across "), hosts.cast("string"), F.lit(" hosts: "),
                        F.array_join(F.slice("names", 1, 3), ", ")))
@@ -258,8 +264,7 @@ def risk_factors(
     factors = _event_factors(event_rules(events)).unionByName(_cluster_factors(events, cluster_seconds, cluster_events))
     if iocs is not None:
         factors = factors.unionByName(_ioc_factors(events, iocs, verdicts, results))
-    table = F.broadcast(rule_table(events.sparkSession, rules))  # 23 fixed rules and the overrides of a config
-    scored = factors.join(table, "rule_id", "left").select(
+    scored = factors.join(rule_table(events.sparkSession, rules), "rule_id", "left").select(
         "incident_id", "rule_id",
         F.concat(F.coalesce("description", "rule_id"), F.lit(": "), "detail").alias("label"),
         F.coalesce("score", F.lit(10)).cast("int").alias("score"), F.lit(V.FACTOR_CONFIDENCE).alias("confidence"),
