@@ -147,18 +147,22 @@ class Katz:
         return sums.select("hist", F.log10((1.0 - F.col("high")) / F.greatest(1.0 - F.col("low"), F.lit(1e-300))).alias("logalpha"))
 
     def log_probabilities(self, rows: DataFrame) -> DataFrame:
-        """(row, part): sums over each row's tokens; ``rows`` has row, w, h1 to h<order>, n (times that the token comes).
+        """(row, score): sums over each row's tokens; ``rows`` has row, w, h2 to h<order>, n (times that the token comes).
 
         Tokens found at an order leave with its probability, the others carry the weight of their history down.
         """
         parts, rest = [], rows
         for n in range(self.order, 0, -1):
-            found = self.grams(n).select(F.col("hist").alias(f"h{n}"), "w", "logp")
-            met = rest.join(found, [f"h{n}", "w"], "left")
+            found = self.grams(n).select(*([F.col("hist").alias(f"h{n}")] if n > 1 else []), "w", "logp")
+            met = rest.join(found, [f"h{n}", "w"] if n > 1 else ["w"], "left")
             parts.append(met.filter("logp IS NOT NULL").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("part")))
-            weight = self.backoff(n).select(F.col("hist").alias(f"h{n}"), "logalpha")
             missed = met.filter("logp IS NULL").drop("logp")
-            parts.append(missed.join(weight, f"h{n}", "left").groupBy("row").agg(
+            if n > 1:
+                weighed = missed.join(self.backoff(n).select(F.col("hist").alias(f"h{n}"), "logalpha"), f"h{n}", "left")
+            else:  # one history only: its weight is a constant
+                only = self.backoff(1).first()
+                weighed = missed.withColumn("logalpha", F.lit(only["logalpha"] if only else None).cast("double"))
+            parts.append(weighed.groupBy("row").agg(
                 F.sum(F.col("n") * F.coalesce("logalpha", F.lit(0.0))).alias("part")))
             rest = missed
         out = parts[0]
@@ -168,7 +172,7 @@ class Katz:
 
 
 def occurrences(texts: DataFrame, order: int) -> DataFrame:
-    """row, w, h1 to h<order>, n: the distinct tokens with history of each text."""
+    """row, w, h2 to h<order>, n: the distinct tokens with history of each text."""
     kind = pa.int64()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,11 +180,11 @@ def occurrences(texts: DataFrame, order: int) -> DataFrame:
             owner, w, hists = tokens(part.column("text"), order)
             first, size = _combined(owner, hists[-1], w)
             yield pa.RecordBatch.from_arrays(
-                [part.column("row").take(pa.array(owner[first])), _signed(w[first]), *(_signed(h[first]) for h in hists), pa.array(size, kind)],
-                names=["row", "w", *(f"h{n}" for n in range(1, order + 1)), "n"])
+                [part.column("row").take(pa.array(owner[first])), _signed(w[first]), *(_signed(h[first]) for h in hists[1:]), pa.array(size, kind)],
+                names=["row", "w", *(f"h{n}" for n in range(2, order + 1)), "n"])
 
-    histories = ", ".join(f"h{n} bigint" for n in range(1, order + 1))
-    return texts.select("row", "text").mapInArrow(split, f"row bigint, w bigint, {histories}, n bigint")
+    histories = "".join(f"h{n} bigint, " for n in range(2, order + 1))
+    return texts.select("row", "text").mapInArrow(split, f"row bigint, w bigint, {histories}n bigint")
 
 
 def scored(documents: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
