@@ -92,6 +92,21 @@ def test_passages_leave_one_copy(docs):
     assert passages.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_passages_repeated_inside_a_line_go(spark):
+    rng = random.Random(8)
+    twice, own, apart = (prose(rng, 60, 10**6) for _ in range(3))
+    fill = [prose(rng, 30, 10**6) for _ in range(12)]
+    rows = [
+        (1, f"{fill[0]} {twice} {fill[1]}"), (2, f"{fill[2]} {twice} {fill[3]} {twice} {fill[4]} {twice}"),
+        (3, f"{fill[5]} {own} {fill[6]} {own} {fill[7]}"), (4, f"{fill[8]} {apart} {apart} {apart} {fill[9]}"),
+        (5, f"{fill[10]} {'again ' * 3000}{fill[11]}"), (6, " ".join(fill))]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    after = {r.doc_id: words_of(r.text) for r in passages.without_spans(made, passages.repeated_spans(made)).collect()}
+    assert after[1] == words_of(rows[0][1]) and after[2] == words_of(" ".join(fill[2:5]))
+    assert after[3] == words_of(f"{fill[5]} {own} {fill[6]} {fill[7]}") and after[4] == words_of(f"{fill[8]} {apart} {fill[9]}")
+    assert after[5] == words_of(f"{fill[10]} {'again ' * 51}{fill[11]}") and after[6] == words_of(rows[5][1])
+
+
 def test_quality_rules(spark, docs):
     repeats = "a b c d e " * 4 + "f g"
     rows = spark.createDataFrame([(1, repeats, 0), (2, None, 0), (3, "x x x x x x", 0)], "doc_id int, text string, n_words int")

@@ -12,7 +12,8 @@ Units of text are compared across all documents:
   occurrence that stays.
 
 The first occurrence (smallest doc_id, then position) of a cluster stays.  Spans to remove that touch are merged; those
-of fewer than ``LEAST_REMOVED`` words stay in the text, so short common lines do no harm.  Blocks count once in a document.
+of fewer than ``LEAST_REMOVED`` words stay in the text, so short common lines do no harm.  A passage that comes again in its
+own document goes there too; of text that repeats itself with a period of less than ``LEAST_KEPT`` words so many words stay.
 
 Everything keyed by a unit's hash is aggregated before it is shuffled and then joined, so a passage in a third of all
 documents is spread like any other; what is gathered by document is bounded by the document's own length.
@@ -39,6 +40,7 @@ from tracewell.operators.components import star_edges
 WIDTH, PERCENT = 5, 80
 LEAST_LINE, LEAST_REMOVED = 20, 50
 BLOCK, REACH = 24, 28
+LEAST_KEPT = BLOCK + REACH - 1
 RECALL = 0.999
 _NEVER = np.uint64(0)
 
@@ -67,7 +69,7 @@ def _sliding(values: np.ndarray, width: int, fold) -> np.ndarray:
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the blocks of all texts; of equal blocks in a text the first."""
+    """(starts, hashes) of the blocks of all texts, but for those that equal and overlap their neighbours and add no word to them."""
     n = len(words.hashes)
     if n < BLOCK + REACH - 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -83,10 +85,16 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(len(starts), dtype=np.uint64)
     for k in range(BLOCK):
         code = mix(code + h[starts + k])
+    # inside a chain of equal overlapping blocks, out of reach of its ends, one in BLOCK / 2 words covers all
     owner = np.searchsorted(words.first, starts, side="right") - 1
-    _, first = np.unique(np.column_stack([owner.astype(np.uint64), code]), axis=0, return_index=True)
-    first.sort()
-    return starts[first], code[first]
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1]) | (np.diff(starts) >= BLOCK)
+    chain = np.cumsum(new) - 1
+    begin, end = starts[new][chain], starts[np.append(new[1:], True)][chain]
+    cell = (starts - begin) // (BLOCK // 2)
+    keep = new | (starts - begin < 2 * LEAST_KEPT) | (end - starts < 2 * LEAST_KEPT)
+    keep[1:] |= cell[1:] != cell[:-1]
+    return starts[keep], code[keep]
 
 
 def lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +162,8 @@ def details(documents: DataFrame, requests: DataFrame) -> DataFrame:
     """What the comparison needs of the texts asked for: contexts of blocks that stay, contexts of runs to remove, shingle sets of lines.
 
     ``requests``: doc_id, asked (array of line, pos, n, key, keep_doc, keep_pos).
-    Result: kind, key, doc_id, begin, end, words (binary: hashes of the words beside a block, nearest first, or of shingles).
+    Result: kind, key, doc_id, begin, end, words (binary: hashes of the words beside a block, nearest first, or of shingles),
+    skip (words at the begin of a run that belong to the occurrence that stays, because both overlap).
     """
 
     def beside(hashes: np.ndarray, a: int, b: int, at: int, step: int) -> bytes:
@@ -175,27 +184,28 @@ def details(documents: DataFrame, requests: DataFrame) -> DataFrame:
                         continue
                     if r["line"]:
                         _, values = distinct_sorted(shingles(words.hashes[p:p + r["n"]], WIDTH), np.array([0, r["n"] - WIDTH + 1]))
-                        out.append((_SET, r["key"], doc, r["pos"], r["pos"] + r["n"], values.tobytes()))
+                        out.append((_SET, r["key"], doc, r["pos"], r["pos"] + r["n"], values.tobytes(), 0))
                     elif (doc, r["pos"]) == (r["keep_doc"], r["keep_pos"]):
                         ctx = [beside(short, a, b, p, -1), beside(short, a, b, p + BLOCK, 1)]
-                        out.append((_KEPT, r["key"], doc, r["pos"], len(ctx[0]), b"".join(ctx)))
+                        out.append((_KEPT, r["key"], doc, r["pos"], len(ctx[0]), b"".join(ctx), 0))
                     else:
                         way = (r["keep_doc"], r["keep_pos"] - r["pos"])
                         if runs and runs[-1][0] == way and r["pos"] <= runs[-1][2]:
                             runs[-1][2:] = [r["pos"] + BLOCK, r["key"], runs[-1][4]]
                         else:
                             runs.append([way, r["pos"], r["pos"] + BLOCK, r["key"], r["key"]])
-                for _, begin, end, last, first in runs:
-                    out.append((_LEFT, first, doc, begin, end, beside(short, a, b, a + begin, -1)))
-                    out.append((_RIGHT, last, doc, begin, end, beside(short, a, b, a + end, 1)))
-            columns = list(zip(*out)) if out else [[]] * 6
+                for (keep_doc, back), begin, end, last, first in runs:
+                    skip = max(LEAST_KEPT + back, 0) if keep_doc == doc else 0
+                    out.append((_LEFT, first, doc, begin, end, beside(short, a, b, a + begin, -1), skip))
+                    out.append((_RIGHT, last, doc, begin, end, beside(short, a, b, a + end, 1), skip))
+            columns = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), part.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.binary()))],
-                names=["kind", "key", "doc_id", "begin", "end", "words"])
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), part.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.binary(), pa.int32()))],
+                names=["kind", "key", "doc_id", "begin", "end", "words", "skip"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     one = documents.select("doc_id", "text").join(requests, "doc_id").dropDuplicates(["doc_id"])
-    return one.mapInArrow(look, f"kind int, key bigint, doc_id {kind}, begin int, end int, words binary")
+    return one.mapInArrow(look, f"kind int, key bigint, doc_id {kind}, begin int, end int, words binary, skip int")
 
 
 def similar_lines(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,12 +239,13 @@ def _extended(edges: DataFrame, kept: DataFrame) -> DataFrame:
                     begin[i] -= length
                 else:
                     end[i] += length
+            begin = np.minimum(begin + batch.column("skip").to_numpy(), end)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(begin), pa.array(end)], names=["doc_id", "begin", "end"])
 
     right = kept.select("key", F.col("end").alias("cut"), F.col("words").alias("both"))
     kind = edges.schema["doc_id"].dataType.simpleString()
-    return edges.join(right, "key").select("kind", "doc_id", "begin", "end", "words", "cut", "both").mapInArrow(
-        extend, f"doc_id {kind}, begin int, end int")
+    return edges.join(right, "key").select("kind", "doc_id", "begin", "end", "words", "skip", "cut", "both").mapInArrow(
+        extend, f"doc_id {kind}, begin int, end int").filter("begin < end")
 
 
 def merged(spans: DataFrame, least: int) -> DataFrame:
