@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,17 @@ def test_crowded_buckets_lose_no_link(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_filter_and_bands_find_pairs_at_the_threshold():
+    """Exact binomial of the registers that agree, for two sets of one size."""
+    m, agree = neardup.M, 1 - 2 * float(neardup._share(np.array([0.1]))[0])
+    regs = (np.arange(m) >= np.arange(m + 1)[:, None]).astype(np.uint8)
+    size = np.full(m + 1, 1000.0)
+    dropped = neardup.estimated(regs, np.zeros_like(regs), size, size) < neardup.PERCENT / 100 - neardup.SLACK
+    by_filter = sum(math.comb(m, c) * agree**c * (1 - agree) ** (m - c) for c in np.flatnonzero(dropped).tolist())
+    by_bands = (1 - agree**neardup.ROWS) ** neardup.BANDS
+    assert by_filter < by_bands and by_filter + by_bands < 3e-5
+
+
 def test_passages_leave_one_copy(docs):
     spans = passages.repeated_spans(docs)
     cut = passages.without_spans(docs, spans)
