@@ -195,6 +195,21 @@ def test_templates_catch_other_values(spark):
     assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} >= {3, 4, 5}
 
 
+def test_parts_of_items_are_found(spark):
+    """Excerpts, pieces far apart and changed words, each with less than half of the windows at one place."""
+    rng = random.Random(4)
+    item = prose(rng, 59, 10**6).split()
+    fill = lambda n: prose(rng, n, 10**6)
+    changed = [w if k % 12 else f"other{k}" for k, w in enumerate(item)]
+    pieces = [" ".join(item[k:k + 12]) for k in (0, 9, 18, 27, 36, 45)]
+    rows = [
+        (1, f"{fill(9)} {' '.join(item[20:45])} {fill(9)}"), (2, f" {fill(40)} ".join(pieces)), (3, f"{fill(5)} {' '.join(changed)} {fill(5)}"),
+        (4, f"{fill(9)} {' '.join(item[20:33])} {fill(9)}"), (5, f"{fill(9)} {' '.join(item[20:32])} {fill(9)}"), (6, fill(90)), (7, " ".join(item))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    found = {r.doc_id: r.n_found for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id int, text string"), bench).collect()}
+    assert found == {1: 18, 2: 30, 3: 19, 4: 6, 7: 52}
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_katz_is_normalised(spark, order):
     rng = random.Random(3)

@@ -4,8 +4,13 @@ A text becomes a sequence of tokens: words in lower case (A-Z and the accented l
 around them, and the typed placeholders NUM (numbers and number words), NAME (capitalised words inside a sentence) and UNIT (units of measure).  Neighbours of one
 placeholder type are one token.  So a question keeps its sequence when it is asked again with other numbers, names or
 units.  Windows of ``WINDOW`` tokens of documents and benchmark items are joined by their hash.  Matches of one item at
-nearly one offset (a few words may be left out or put in) are put together: enough of the item's windows must be found, and the slots must be consistent, that is, a value
-that comes twice in the item stands for one value in the document.
+nearly one offset (a few words may be left out or put in) are a cell, those at one offset without a gap are a run.  The slots
+of either must be consistent, that is, a value that comes twice in the item stands for one value in the document.  A document
+holds an item if it has
+
+* a cell with the share ``COVERAGE`` of the item's windows, or with that share of its tokens and ``LONG_RUN`` of them at least;
+* cells that have that share of the windows together, wherever they stand;
+* or a run of ``LONG_RUN`` tokens, whatever share of the item it is.
 
 Benchmark items that have the same sequence and the same pattern of equal slots are one template, compared once, however many
 there are.  The windows of the templates, if at most ``FILTER_WINDOWS`` (counted first), go to the scan as a filter and
@@ -23,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.tables import stored, table
 from tracewell.llm.wordbatch import Words, mix, shingles, slices, within
 
 WINDOW, LEAST_WINDOW = 8, 4
-#: Share of an item's windows that must be found at one place, and how far offsets of one place may lie apart.
+#: Share of an item that must be found, how many tokens in a row do whatever their share, and how far offsets of one place may lie apart.
 COVERAGE = 0.5
+LONG_RUN = 13
 DRIFT = 16
 #: Up to so many benchmark windows are sent to the scan: 8 bytes each.
 FILTER_WINDOWS = 2_000_000
@@ -134,7 +140,7 @@ def _rows(found: Templates, starts: np.ndarray, hashes: np.ndarray, width: int,
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, template, n_windows, hash, at, slots: the windows of every item; ``template`` names sequence and pattern of slots."""
+    """item_id, template, n_windows, n_tokens, width, hash, at, slots: the windows of every item; ``template`` names sequence and pattern of slots."""
     numbers, units = _hashes(NUMBER_WORDS), _hashes(UNITS)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +162,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 rows = _rows(one, starts, hashes, width, part.column("item_id").slice(i, 1), ["item_id", "hash", "at", "slots"])
                 n = len(starts)
                 yield rows.append_column("name", pa.array([name] * n)).append_column("n_windows", pa.array([n] * n, pa.int64())).append_column(
-                    "width", pa.array([width] * n, pa.int32()))
+                    "width", pa.array([width] * n, pa.int32())).append_column("n_tokens", pa.array([b - a] * n, pa.int64()))
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
     made = benchmark.select("item_id", "text").mapInArrow(
-        make, f"item_id {kind}, hash bigint, at bigint, slots array<bigint>, name string, n_windows bigint, width int")
+        make, f"item_id {kind}, hash bigint, at bigint, slots array<bigint>, name string, n_windows bigint, width int, n_tokens bigint")
     return made.withColumn("template", F.sha2("name", 256)).drop("name")
 
 
@@ -193,8 +199,29 @@ def document_windows(documents: DataFrame, widths: list[int], wanted: np.ndarray
     return documents.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, hash bigint, pos bigint, found array<bigint>")
 
 
+def _judged(hits: DataFrame, key: list[str]) -> DataFrame:
+    """key, at (distinct, sorted), n_windows, n_tokens, width, same_values of the groups of hits whose slots are consistent."""
+    places = hits.groupBy(*key).agg(
+        F.array_sort(F.collect_set("at")).alias("at"), *(F.first(c).alias(c) for c in ("n_windows", "n_tokens", "width")))
+    values = hits.select(*key, F.explode("pairs").alias("p")).select(*key, "p.slots", "p.found").distinct()
+    consistent = values.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("slots").alias("n_values"),
+        F.min((F.col("slots") == F.col("found"))).alias("same"))
+    right = consistent.withColumnsRenamed({c: f"_{c}" for c in key})
+    match = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    for c in key[1:]:
+        match &= F.col(c) == F.col(f"_{c}")
+    both = places.join(right, match, "left").filter(F.coalesce("n_pairs", F.lit(0)) == F.coalesce("n_values", F.lit(0)))
+    return both.select(*key, "at", "n_windows", "n_tokens", "width", F.coalesce("same", F.lit(True)).alias("same_values"))
+
+
+#: Tokens below the windows at the sorted places ``at``.
+_COVERED = """aggregate(at, named_struct('n', 0L, 'end', 0L), (a, x) -> named_struct(
+    'n', a.n + x + width - greatest(a.end, x), 'end', x + width), a -> a.n)"""
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, n_found, n_windows, same_values for every document that holds an item, be it with other values."""
+    """doc_id, item_id, n_found, n_windows, same_values for every document that holds an item or much of it, be it with other values."""
     windows = stored(item_windows(benchmark), "benchmark-windows")
     items = windows.groupBy("template", "item_id").agg(F.first("n_windows").alias("n_windows"))
     speaker = items.groupBy("template").agg(F.min("item_id").alias("item_id"))
@@ -205,22 +232,27 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     if hashes.count() <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(np.uint64))
     hits = document_windows(documents, widths, wanted).join(templates, "hash")
-    apart = F.col("pos") - F.col("at")
-    # two grids, half a cell apart: offsets that are close share a cell of one of them
-    hits = hits.withColumn("offset", F.explode(F.array(2 * F.floor(apart / DRIFT), 2 * F.floor((apart + DRIFT // 2) / DRIFT) + 1)))
-    key = ["doc_id", "template", "offset"]
     slots = F.filter(F.arrays_zip("slots", "found"), lambda s: s["slots"] != 0)
-    slim = stored(hits.select(*key, "at", "n_windows", slots.alias("pairs")), "benchmark-hits")
-    counted = slim.groupBy(*key).agg(F.count_distinct("at").alias("n_found"), F.first("n_windows").alias("n_windows"))
-    values = slim.select(*key, F.explode("pairs").alias("p")).select(*key, "p.slots", "p.found").distinct()
-    consistent = values.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("slots").alias("n_values"),
-        F.min((F.col("slots") == F.col("found"))).alias("same"))
-    right = consistent.withColumnsRenamed({c: f"_{c}" for c in key})
-    both = counted.join(right, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("template") == F.col("_template")) & (F.col("offset") == F.col("_offset")), "left")
-    held = both.filter((F.col("n_found") >= coverage * F.col("n_windows")) & (F.coalesce("n_pairs", F.lit(0)) == F.coalesce("n_values", F.lit(0))))
-    best = held.groupBy("doc_id", "template").agg(
-        F.max(F.struct("n_found", F.coalesce("same", F.lit(True)).alias("same_values"))).alias("best"), F.first("n_windows").alias("n_windows"))
+    slim = stored(hits.select(
+        "doc_id", "template", "at", (F.col("pos") - F.col("at")).alias("apart"), "n_windows", "n_tokens", "width", slots.alias("pairs")), "benchmark-hits")
+    # two grids, half a cell apart: offsets that are close share a cell of one of them
+    grids = F.array(2 * F.floor(F.col("apart") / DRIFT), 2 * F.floor((F.col("apart") + DRIFT // 2) / DRIFT) + 1)
+    cells = stored(_judged(slim.withColumn("offset", F.explode(grids)), ["doc_id", "template", "offset"]), "benchmark-cells")
+    row = ["doc_id", "template", "n_windows", "n_found", "same_values"]
+    sized = cells.withColumns({"n_found": F.size("at").cast("bigint"), "covered": F.expr(_COVERED)})
+    at_one_place = sized.filter((F.col("n_found") >= coverage * F.col("n_windows")) | (
+        F.col("covered") >= F.greatest(F.lit(LONG_RUN), coverage * F.col("n_tokens")))).select(F.lit(True).alias("one"), *row)
+    together = cells.select("doc_id", "template", "n_windows", "same_values", F.explode("at").alias("at")).groupBy(
+        "doc_id", "template").agg(F.first("n_windows").alias("n_windows"), F.count_distinct("at").alias("n_found"), F.min("same_values").alias("same_values"))
+    together = together.filter(F.col("n_found") >= coverage * F.col("n_windows")).select(F.lit(False).alias("one"), *row)
+    along = Window.partitionBy("doc_id", "template", "apart").orderBy("at")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(along) > F.col("width"), F.lit(False))
+    runs = slim.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(along))
+    runs = _judged(runs, ["doc_id", "template", "apart", "run"]).filter(
+        F.element_at("at", -1) + F.col("width") - F.element_at("at", 1) >= LONG_RUN).select(
+        F.lit(False).alias("one"), "doc_id", "template", "n_windows", F.size("at").cast("bigint").alias("n_found"), "same_values")
+    best = at_one_place.unionByName(together).unionByName(runs).groupBy("doc_id", "template").agg(
+        F.max(F.struct("one", "n_found", "same_values")).alias("best"), F.first("n_windows").alias("n_windows"))
     return best.join(items.select("template", "item_id"), "template").select(
         "doc_id", "item_id", "best.n_found", "n_windows", "best.same_values")
 
