@@ -119,6 +119,21 @@ def test_passages_repeated_inside_a_line_go(spark):
     assert after[5] == words_of(f"{fill[10]} {'again ' * 51}{fill[11]}") and after[6] == words_of(rows[5][1])
 
 
+def test_short_and_wrapped_paragraphs_go_whole(spark):
+    rng = random.Random(9)
+    wrap = lambda w: "\n".join(" ".join(w[k:k + 12]) for k in range(0, len(w), 12))
+    short, body, title, extra = prose(rng, 25, 10**6), prose(rng, 100, 10**6).split(), prose(rng, 5, 10**6), prose(rng, 60, 10**6)
+    near = [w if k != 50 else "edit" for k, w in enumerate(body)]
+    own = [prose(rng, 30, 10**6) for _ in range(9)]
+    rows = [
+        (1, f"{own[0]}\n\n{short}\n\n{wrap(body)}"), (2, f"{own[1]}\n{short}\n{own[2]}"), (3, f"{own[3]}\n \n{wrap(near)}\n\n{own[4]}"),
+        (4, " ".join(near)), (5, f"{title}\n{extra}\n\n{own[5]}"), (6, f"{own[6]} {short} {own[7]}"), (7, f"{own[8]}\n\n{extra}")]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    after = {r.doc_id: words_of(r.text) for r in passages.without_spans(made, passages.repeated_spans(made)).collect()}
+    stay = {1: rows[0][1], 2: " ".join(own[1:3]), 3: " ".join(own[3:5]), 4: "", 5: rows[4][1], 6: rows[5][1], 7: own[8]}
+    assert after == {i: words_of(text) for i, text in stay.items()}
+
+
 def test_quality_rules(spark, docs):
     repeats = "a b c d e " * 4 + "f g"
     rows = spark.createDataFrame([(1, repeats, 0), (2, None, 0), (3, "x x x x x x", 0)], "doc_id int, text string, n_words int")

@@ -2,7 +2,8 @@
 
 Units of text are compared across all documents:
 
-* paragraphs, that is lines of ``LEAST_LINE`` words and more: MinHash over shingles of five words, in bands tuned so that
+* paragraphs, that is lines and runs of lines between blank lines ("wrapped"), of ``LEAST_LINE`` words and more: MinHash over
+  shingles of five words, in bands tuned so that
   a pair at the threshold is found with a probability of 0.999; colliding paragraphs are joined through the smallest one
   of their bucket, verified by their exact Jaccard similarity, and clustered by components; buckets that still hold
   several clusters are compared across clusters in full;
@@ -11,8 +12,10 @@ Units of text are compared across all documents:
   Equal blocks are clustered by their hash, and a run of them is extended word by word as far as it equals the
   occurrence that stays.
 
-The first occurrence (smallest doc_id, then position) of a cluster stays.  Spans to remove that touch are merged; those
-of fewer than ``LEAST_REMOVED`` words stay in the text, so short common lines do no harm.  A passage that comes again in its
+The first occurrence (smallest doc_id, then position) of a cluster stays.  Wrapped paragraphs are settled first: of a cluster
+that has some, the first of these stays.  Lines inside those that go, and then blocks that touch any paragraph that goes,
+can't be the occurrence that stays.  Paragraphs go whole; other spans that touch are merged, and those of fewer than
+``LEAST_REMOVED`` words stay in the text, so short common phrases do no harm.  A passage that comes again in its
 own document goes there too; of text that repeats itself with a period of less than ``LEAST_KEPT`` words so many words stay.
 
 Everything keyed by a unit's hash is aggregated before it is shuffled and then joined, so a passage in a third of all
@@ -24,6 +27,7 @@ row's text is used; documents whose id is null are left alone; other columns are
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,13 +101,17 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return starts[keep], code[keep]
 
 
-def lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, end) in words of the lines that have words enough."""
+def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end) in words of the lines and the runs of lines between blank lines that have words enough, and which are runs of several lines."""
     breaks = np.flatnonzero(np.frombuffer(words.bytes, dtype=np.uint8) == 10)
-    at = np.unique(np.concatenate([words.first, np.searchsorted(words.starts, breaks)]))
-    begin, end = at[:-1], at[1:]
+    before = np.bincount(np.searchsorted(words.starts, breaks), minlength=len(words.hashes) + 1)
+    before[words.first] = 2
+    line, run = np.flatnonzero(before), np.flatnonzero(before > 1)
+    several = np.diff(np.searchsorted(line, run)) > 1
+    begin, end = np.concatenate([line[:-1], run[:-1][several]]), np.concatenate([line[1:], run[1:][several]])
+    wrapped = np.arange(len(begin)) >= len(line) - 1
     long = end - begin >= LEAST_LINE
-    return begin[long], end[long]
+    return begin[long], end[long], wrapped[long]
 
 
 def _line_shingles(words: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +137,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def units(documents: DataFrame) -> DataFrame:
-    """line (or block), key, doc_id, pos, n (position and length in words), bands (null for blocks)."""
+    """line (paragraph, or block), wrapped, key, doc_id, pos, n (position and length in words), bands (null for blocks)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(part.column("text"))
-            begin, end = lines(words)
+            begin, end, wrapped = paragraphs(words)
             offsets, values = _line_shingles(words, begin, end)
             # the key of a line is that of its sequence of shingles
             position = np.arange(len(values), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
@@ -142,17 +150,17 @@ def units(documents: DataFrame) -> DataFrame:
             key = mix(sums[offsets[1:]] - sums[offsets[:-1]])
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1) * BANDS, pa.int32()), _signed(signatures(offsets, values).ravel()))
             starts, codes = anchors(words)
-            for line, at, length, keys, more in ((True, begin, end - begin, key, bands),
-                                                 (False, starts, np.full(len(starts), BLOCK), codes, pa.nulls(len(starts), pa.list_(pa.int64())))):
+            for line, several, at, length, keys, more in ((True, wrapped, begin, end - begin, key, bands),
+                                                 (False, np.zeros(len(starts), bool), starts, np.full(len(starts), BLOCK), codes, pa.nulls(len(starts), pa.list_(pa.int64())))):
                 owner = np.searchsorted(words.first, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), line)), _signed(keys), part.column("doc_id").take(pa.array(owner)),
+                    [pa.array(np.full(len(at), line)), pa.array(several), _signed(keys), part.column("doc_id").take(pa.array(owner)),
                      pa.array((at - words.first[owner]).astype(np.int32)), pa.array(length.astype(np.int32)), more],
-                    names=["line", "key", "doc_id", "pos", "n", "bands"])
+                    names=["line", "wrapped", "key", "doc_id", "pos", "n", "bands"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(
-        scan, f"line boolean, key bigint, doc_id {kind}, pos int, n int, bands array<bigint>")
+        scan, f"line boolean, wrapped boolean, key bigint, doc_id {kind}, pos int, n int, bands array<bigint>")
 
 
 _KEPT, _LEFT, _RIGHT, _SET = range(4)
@@ -161,7 +169,8 @@ _KEPT, _LEFT, _RIGHT, _SET = range(4)
 def details(documents: DataFrame, requests: DataFrame) -> DataFrame:
     """What the comparison needs of the texts asked for: contexts of blocks that stay, contexts of runs to remove, shingle sets of lines.
 
-    ``requests``: doc_id, asked (array of line, pos, n, key, keep_doc, keep_pos).
+    ``requests``: doc_id, asked (array of line, pos, n, key, keep_doc, keep_pos), gone (array of begin, end: what goes anyway,
+    contexts of blocks that stay end there; may be null).
     Result: kind, key, doc_id, begin, end, words (binary: hashes of the words beside a block, nearest first, or of shingles),
     skip (words at the begin of a run that belong to the occurrence that stays, because both overlap).
     """
@@ -175,9 +184,10 @@ def details(documents: DataFrame, requests: DataFrame) -> DataFrame:
             words = Words(part.column("text"))
             short = mix(words.hashes ^ np.uint64(11))
             out: list[tuple] = []
-            for i, (doc, asked) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("asked").to_pylist())):
+            for i, (doc, asked, gone) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "asked", "gone")))):
                 a, b = int(words.first[i]), int(words.first[i + 1])
                 runs: list[list] = []
+                ends, begins = sorted(g["end"] for g in gone or ()), sorted(g["begin"] for g in gone or ())
                 for r in sorted(asked, key=lambda r: r["pos"]):
                     p = a + r["pos"]
                     if p + r["n"] > b:
@@ -186,7 +196,9 @@ def details(documents: DataFrame, requests: DataFrame) -> DataFrame:
                         _, values = distinct_sorted(shingles(words.hashes[p:p + r["n"]], WIDTH), np.array([0, r["n"] - WIDTH + 1]))
                         out.append((_SET, r["key"], doc, r["pos"], r["pos"] + r["n"], values.tobytes(), 0))
                     elif (doc, r["pos"]) == (r["keep_doc"], r["keep_pos"]):
-                        ctx = [beside(short, a, b, p, -1), beside(short, a, b, p + BLOCK, 1)]
+                        low, high = bisect_right(ends, r["pos"]), bisect_left(begins, r["pos"] + BLOCK)
+                        low, high = a + ends[low - 1] if low else a, a + begins[high] if high < len(begins) else b
+                        ctx = [beside(short, low, high, p, -1), beside(short, low, high, p + BLOCK, 1)]
                         out.append((_KEPT, r["key"], doc, r["pos"], len(ctx[0]), b"".join(ctx), 0))
                     else:
                         way = (r["keep_doc"], r["keep_pos"] - r["pos"])
@@ -249,37 +261,34 @@ def _extended(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def merged(spans: DataFrame, least: int) -> DataFrame:
-    """Spans of a document that touch or overlap as one; those of ``least`` words and more.  The spans of a document are bounded by its length."""
-    step = """aggregate(sort_array(collect_list(struct(begin, end))), cast(array() as array<struct<begin: int, end: int>>), (a, s) ->
+    """Spans of a document that touch or overlap as one; those that hold a ``whole`` one or have ``least`` words and more.  The spans of a document are bounded by its length."""
+    step = """aggregate(sort_array(collect_list(struct(begin, end, whole))), cast(array() as array<struct<begin: int, end: int, whole: boolean>>), (a, s) ->
         CASE WHEN size(a) > 0 AND element_at(a, -1).end >= s.begin
-             THEN array_append(slice(a, 1, size(a) - 1), named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, s.end)))
+             THEN array_append(slice(a, 1, size(a) - 1), named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, s.end),
+                                                                      'whole', element_at(a, -1).whole OR s.whole))
              ELSE array_append(a, s) END)"""
-    return spans.distinct().groupBy("doc_id").agg(F.expr(step).alias("m")).select("doc_id", F.explode("m").alias("m")).select(
-        "doc_id", "m.begin", "m.end").filter(F.col("end") - F.col("begin") >= least)
+    return spans.distinct().groupBy("doc_id").agg(F.expr(step).alias("m")).select("doc_id", F.explode("m").alias("m")).filter(
+        F.col("m.whole") | (F.col("m.end") - F.col("m.begin") >= least)).select("doc_id", "m.begin", "m.end")
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, begin, end (in words) of what repeats text that stays elsewhere."""
-    found = stored(units(documents), "passage-units", "line")
-    place = F.struct("doc_id", "pos")
-    blocks = found.filter("NOT line").select("key", "doc_id", "pos")
-    firsts = blocks.groupBy("key").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("key", "keep")
-    twice = blocks.join(firsts, "key").select("doc_id", F.lit(False).alias("line"), "pos", F.lit(BLOCK).alias("n"), "key", "keep.*")
-    twice = twice.toDF("doc_id", "line", "pos", "n", "key", "keep_doc", "keep_pos")
+_ASKED = ("line", "pos", "n", "key", "keep_doc", "keep_pos")
+
 
-    paragraphs = found.filter("line")
-    classes = stored(paragraphs.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "n", "bands")).alias("f")).select("key", "f.*"), "passage-lines")
+def paragraph_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, begin, end of the paragraphs that are copies or near copies of one that stays."""
+    classes = stored(found.groupBy("key").agg(
+        F.min(F.struct("doc_id", "pos", "n", "bands")).alias("f"), F.count(F.lit(1)).alias("times"),
+        F.min(F.when(F.col("wrapped"), F.struct("doc_id", "pos", "n"))).alias("first_wrapped")).select("key", "f.*", "times", "first_wrapped"), "passage-lines")
     bands = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("bucket")
     bands = stored(bands.join(shared, "bucket", "left_semi"), "passage-bands")
     wanted = classes.join(bands.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select(
         "doc_id", F.lit(True).alias("line"), "pos", "n", "key", F.lit(None).cast(classes.schema["doc_id"].dataType).alias("keep_doc"),
         F.lit(None).cast("int").alias("keep_pos"))
-    requests = twice.unionByName(wanted).groupBy("doc_id").agg(
-        F.collect_list(F.struct("line", "pos", "n", "key", "keep_doc", "keep_pos")).alias("asked"))
-    known = stored(details(documents, requests), "passage-details", "kind")
+    requests = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*_ASKED)).alias("asked")).withColumn(
+        "gone", F.lit(None).cast("array<struct<begin: int, end: int>>"))
+    sets = stored(details(documents, requests).select("key", "words"), "passage-sets")
 
-    sets = known.filter(F.col("kind") == _SET)
     links = stored(similar_lines(star_pairs(bands), sets), "passage-links").toDF("u", "v")
     roots = star_edges(links).select(F.col("a").alias("node"), F.col("b").alias("root"))
     rooted_bands = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -288,14 +297,44 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     more = similar_lines(small_pairs(members), sets).toDF("u", "v").unionByName(crowded_links(members, elements, PERCENT))
     edges = roots.toDF("u", "v").unionByName(more)
     roots = star_edges(edges).select(F.col("a").alias("key"), F.col("b").alias("root"))
-    rooted = classes.select("key", "doc_id", "pos").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    keep = rooted.groupBy("root").agg(F.min(place).alias("keep"))
-    line_keep = rooted.join(keep, "root").select("key", "keep")
-    line_spans = paragraphs.select("key", "doc_id", "pos", "n").join(line_keep, "key").filter(place != F.col("keep")).select(
-        "doc_id", F.col("pos").alias("begin"), (F.col("pos") + F.col("n")).alias("end"))
+    rooted = classes.select("key", "times", "first_wrapped").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    groups = rooted.groupBy("root").agg(F.min("first_wrapped").alias("keep"), F.sum("times").alias("n_units")).filter("n_units > 1").drop("n_units")
+    kept = rooted.join(groups, "root").select("key", "root", "keep")
+    copies = stored(found.select("key", "doc_id", "pos", "n", "wrapped").join(kept, "key").drop("key"), "passage-copies")
+
+    place = F.struct("doc_id", "pos", "n")
+    span = ("doc_id", F.col("pos").alias("begin"), (F.col("pos") + F.col("n")).alias("end"))
+    whole = stored(copies.filter(F.col("wrapped") & (place != F.col("keep"))).select(*span).distinct(), "passage-wrapped")
+    around = whole.toDF("_id", "begin", "end")
+    lines = stored(copies.filter("NOT wrapped").drop("wrapped").join(
+        around, (F.col("doc_id") == F.col("_id")) & (F.col("begin") <= F.col("pos")) & (F.col("pos") + F.col("n") <= F.col("end")), "left_anti"), "passage-single")
+    alone = lines.filter("keep IS NULL").drop("keep")
+    firsts = alone.groupBy("root").agg(F.min(place).alias("keep"))
+    settled = lines.filter("keep IS NOT NULL").unionByName(alone.join(firsts, "root"))
+    # a line of the paragraph that stays may be like the whole of it
+    apart = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("pos") >= F.col("keep.pos") + F.col("keep.n")) | (F.col("pos") + F.col("n") <= F.col("keep.pos"))
+    return whole.unionByName(settled.filter(apart).select(*span))
+
 
+def repeated_spans(documents: DataFrame) -> DataFrame:
+    """doc_id, begin, end (in words) of what repeats text that stays elsewhere."""
+    found = stored(units(documents), "passage-units", "line")
+    gone = stored(paragraph_spans(documents, found.filter("line")), "passage-gone")
+
+    blocks = found.filter("NOT line").select("key", "doc_id", "pos")
+    several = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
+    cut = gone.toDF("_id", "begin", "end")
+    touches = (F.col("doc_id") == F.col("_id")) & (F.col("pos") < F.col("end")) & (F.col("pos") + BLOCK > F.col("begin"))
+    left = stored(blocks.join(several, "key", "left_semi").join(cut, touches, "left_anti"), "passage-blocks")
+    firsts = left.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("keep"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("key", "keep")
+    twice = left.join(firsts, "key").select("doc_id", F.lit(False).alias("line"), "pos", F.lit(BLOCK).alias("n"), "key", "keep.*")
+    twice = twice.toDF("doc_id", "line", "pos", "n", "key", "keep_doc", "keep_pos")
+    limits = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("begin", "end")).alias("gone"))
+    requests = twice.groupBy("doc_id").agg(F.collect_list(F.struct(*_ASKED)).alias("asked"))
+    requests = requests.join(limits, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    known = stored(details(documents, requests), "passage-details", "kind")
     runs = _extended(known.filter(F.col("kind").isin(_LEFT, _RIGHT)), known.filter(F.col("kind") == _KEPT))
-    return merged(line_spans.unionByName(runs), LEAST_REMOVED)
+    return merged(gone.withColumn("whole", F.lit(True)).unionByName(runs.withColumn("whole", F.lit(False))), LEAST_REMOVED)
 
 
 def without_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
