@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, decontaminate, katz, language, mixing, neardup, passages, quality, rollup, toxicity
+from tracewell.llm import chat, crowds, decontaminate, katz, language, mixing, neardup, passages, quality, rollup, toxicity
 from tracewell.llm.tables import crc_fold, shared_folder
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -76,6 +76,17 @@ def test_crowded_buckets_lose_no_link(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_crowded_blocks_give_a_forest():
+    """Two groups of like sets, each set a root of its own: as few links as join them."""
+    near = lambda first: [np.setdiff1d(np.arange(first, first + 40), [first + k]).astype(np.uint64) for k in range(20)]
+    group = [{"node": i, "root": i, "elements": e.tobytes()} for i, e in enumerate(near(0) + near(1000))]
+    links = list(crowds._joined(group, 80))
+    top = list(range(40))
+    for a, b in links:
+        top = [top[a] if x == top[b] else x for x in top]
+    assert len(links) == 38 and len(set(top[:20])) == len(set(top[20:])) == 1 and top[0] != top[20]
+
+
 def test_filter_and_bands_find_pairs_at_the_threshold():
     """Exact binomial of the registers that agree, for two sets of one size."""
     m, agree = neardup.M, 1 - 2 * float(neardup._share(np.array([0.1]))[0])

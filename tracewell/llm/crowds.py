@@ -5,7 +5,7 @@ Whoever wants every link must compare the members of different components:
 
 * buckets of up to ``SMALL`` members give their pairs, at most SMALL / 2 for each member;
 * larger ones are cut into blocks of about ``SIDE`` members; a task compares two blocks at once by one matrix product over
-  the elements that they share, and returns one link for each two components that it finds linked.
+  the elements that they share, and returns links that join the components that it finds linked, fewer than it has components.
 
 Both ways are exact and cover every pair; no task holds more than two blocks.
 """
@@ -61,7 +61,7 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _joined(group: list[dict], percent: int) -> Iterator[tuple]:
-    """One link for each two roots of a pair of blocks that are linked."""
+    """Links that join the roots of a pair of blocks as all links of their members do: a spanning forest."""
     sets = [np.frombuffer(r["elements"], np.uint64) for r in group]
     size = np.array([len(s) for s in sets], dtype=np.float32)
     roots = {r: i for i, r in enumerate(dict.fromkeys(r["root"] for r in group))}
@@ -70,10 +70,11 @@ def _joined(group: list[dict], percent: int) -> Iterator[tuple]:
         return
     both = common(sets)
     near = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (root[:, None] < root[None, :])
-    seen = set()
+    top = np.arange(len(roots))
     for x, y in zip(*np.nonzero(near)):
-        if (root[x], root[y]) not in seen:
-            seen.add((root[x], root[y]))
+        a, b = top[root[x]], top[root[y]]
+        if a != b:
+            top[top == b] = a
             yield group[x]["node"], group[y]["node"]
 
 
