@@ -47,7 +47,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("source_mixing", source_mixing),
 ]
-#: Near-duplicates and passages can't be said in SQL over whole tables; the tests hold the run against brute force.
+#: Near-duplicates and passages can't be said in SQL over whole tables; the tests look at the stages' columns and ids only, and do not call run().
 ORACLE_SQL = None
 
 
