@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, katz, language, mixing, neardup, passages, quality, rollup, toxicity
+from tracewell.llm import chat, decontaminate, katz, language, mixing, neardup, passages, quality, rollup, toxicity, variants
 
-_MODULES = [rollup, katz, chat, language, decontaminate, toxicity, quality, neardup, passages, mixing]
+_MODULES = [rollup, katz, chat, language, decontaminate, toxicity, quality, neardup, passages, mixing, variants]
 
 
 def queries() -> dict:
