@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, katz, language, mixing, neardup, passages, quality, rollup, toxicity, variants, whitening
+from tracewell.llm import chat, decontaminate, katz, language, mixing, neardup, passages, quality, rollup, toxicity, variants, vectorgraph, whitening
 
-_MODULES = [rollup, katz, chat, language, decontaminate, toxicity, quality, neardup, passages, mixing, whitening, variants]
+_MODULES = [rollup, katz, chat, language, decontaminate, toxicity, quality, neardup, passages, mixing, whitening, variants, vectorgraph]
 
 
 def queries() -> dict:
