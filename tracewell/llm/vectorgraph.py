@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by robust-pruned flat graphs over overlapping cluster shards.
 
 1. Vectors of equal direction are one class; from here on only classes are compared, with their weights.
-2. Centroids are fitted on a bounded sample (``SAMPLE`` classes); every class goes to the ``OVERLAP`` shards of its nearest
+2. Centroids are fitted on a bounded sample (``SAMPLE`` classes), those that are near duplicates become one; every class goes to the ``OVERLAP`` shards of its nearest
    centroids.  There are as many centroids as keep shards at about ``SHARD`` members, up to one for each 8 sampled classes.
 3. Each shard builds a flat graph: the nearest members of each one and some random ones, pruned robustly (a candidate goes if
    a chosen one is ``ALPHA`` times closer to it), and the reverse edges.  A class's lists of all its shards are united.
@@ -67,7 +67,7 @@ def unit_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         for batch in batches:
             vec = batch.column("vec")
             there = vec.is_valid().to_numpy(zero_copy_only=False)
-            x = vec.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(there.sum(), -1)
+            x = vec.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(there.sum(), size)
             if len(x):
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) + 0.0
@@ -118,9 +118,22 @@ def fitted(classes: DataFrame, n: int, overlap: int) -> Shards:
         near = np.concatenate([(x[i:i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
-        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        c = np.where(length > 1e-9, sums / np.maximum(length, 1e-9), c)
-    return Shards(c, overlap, np.zeros(0, np.int64))
+        c = _directions(sums, c)
+    top = np.zeros_like(c)  # one centroid for centroids that are near duplicates: a crowd isn't torn apart
+    merged, kept = np.zeros_like(c), 0
+    for i in np.argsort(-np.bincount(near, minlength=k), kind="stable"):
+        cosine = top[:kept] @ c[i]
+        at = int(cosine.argmax()) if kept else 0
+        if not kept or cosine[at] < LEAST:
+            at, kept = kept, kept + 1
+            top[at] = c[i]
+        merged[at] += sums[i]
+    return Shards(_directions(merged[:kept], top[:kept]), min(overlap, kept), np.zeros(0, np.int64))
+
+
+def _directions(sums: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return np.where(length > 1e-9, sums / np.maximum(length, 1e-9), otherwise)
 
 
 #: Cosines of half and of one and a half times the angle of a link, moved by more than rounding errors.
