@@ -135,6 +135,7 @@ def plain_variants(rows):
 
 def test_variants_against_plain_python(spark):
     rng = random.Random(4)
+    chain = ["chainaaa"] * 300 + ["chainaab"] * 50 + ["chainabb"] * 7
     stems = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(5, 9))) for _ in range(25)]
     rows = [(None, None), (1, ""), (2, "123 -- ."), (None, "Größer größer GRÖßER größer größer"), (3, "x" * 3000 + " "), (4, ("y" * 900 + " ") * 5 + ("y" * 901 + " ") * 6)]
     for i in range(10, 160):
@@ -144,7 +145,7 @@ def test_variants_against_plain_python(spark):
             at = rng.randrange(len(w))
             words.append(rng.choice([w] * 6 + [w[:at] + w[at + 1:], w[:at] + "z" + w[at:], w[:at] + "Á" + w[at + 1:], w.upper()]))
         rows.append((i, rng.choice([" ", "\n", "1"]).join(words)))
-    rows += rows[20:30]
+    rows += [*rows[20:30], (500, " ".join(chain))]
     frame_ = spark.createDataFrame([(i, t, "q", 1, "z") for i, t in rows], "doc_id bigint, text string, word string, n int, reduced string")
     got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in variants.variants(frame_).collect()}
     want = plain_variants(rows)
