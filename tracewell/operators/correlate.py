@@ -9,6 +9,8 @@ ever formed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,98 +257,80 @@ def identity_chain(events: DataFrame, group: str = "incident_id") -> DataFrame:
 # --------------------------------------------------------------------------- anchored groups
 
 
-def _greedy_groups(pdf, window_us: int, keys: list[str]):
-    """Anchored grouping of one bounded component, in time order.
+def _value_pairs(rows: DataFrame) -> DataFrame:
+    """component, event_id, us, p: one row for each key value that an event carries."""
+    return rows.select("component", "event_id", "us", F.explode("values").alias("p"))
+
 
-    A key value has at most one live group: whoever carries the value next joins
-    every live group that has it.  So one pointer per value is enough.
+def _recut(rows: DataFrame, window_us: int) -> DataFrame:
+    """The rows with their components renewed: what is closed no longer holds the rest together.
+
+    Cells one window wide and gaps between neighbouring cells, as in :func:`_group_edges`, but inside the old components.
     """
-    pdf = pdf.sort_values(["us", "seq", "event_id"], kind="stable")
-    parent: list[int] = []
-    anchor: list[int] = []
-    holder: dict[tuple[str, str], int] = {}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    columns = [pdf[k].tolist() for k in keys]
-    for n, us in enumerate(pdf["us"].tolist()):
-        values = [(k, column[n]) for k, column in zip(keys, columns) if column[n] is not None and column[n] == column[n]]
-        live = {root(holder[v]) for v in values if v in holder}
-        live = [g for g in live if us - anchor[g] <= window_us]
-        parent.append(n)
-        anchor.append(us)
-        if live:
-            first = min(live, key=lambda g: anchor[g])
-            for g in [*live, n]:
-                parent[g] = first
-        for v in values:
-            holder[v] = root(n)
-    ids = pdf["event_id"].tolist()
-    name: dict[int, str] = {}
-    for n, event_id in enumerate(ids):
-        g = root(n)
-        name[g] = min(name.get(g, event_id), event_id)
-    return pdf.assign(group_id=[name[root(n)] for n in range(len(ids))])[["event_id", "group_id"]]
-
-
-def _peel_groups(rows: DataFrame, window_us: int, keys: list[str]) -> DataFrame:
-    """Anchored grouping of components too large for one task, group by group.
-
-    The group of a component's earliest event is final as soon as the window
-    behind that event has passed, and inside one window anchored grouping is
-    plain connectedness over shared values.  So each round takes, from every
-    component at once, the slice of one window, finds its connected parts and
-    sets the part of the earliest event aside.
+    cell = ["component", "p", "cell"]
+    index = _value_pairs(rows).withColumn("cell", F.floor(F.col("us") / F.lit(max(window_us, 1))))
+    cells = index.groupBy(*cell).agg(
+        F.min("event_id").alias("v"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
+    star = index.join(cells.filter("n > 1").select(*cell, "v"), cell).select(F.col("event_id").alias("u"), "v")
+    after = cells.select("component", "p", (F.col("cell") - 1).alias("cell"), F.col("v").alias("next_v"), F.col("first_us").alias("next_us"))
+    chain = cells.join(after, cell).filter(F.col("next_us") - F.col("last_us") <= window_us).select(F.col("v").alias("u"), F.col("next_v").alias("v"))
+    edges = star.unionByName(chain).filter("u <> v").distinct()
+    parts = connected_components(edges, rows.select(F.col("event_id").alias("id")))
+    return rows.drop("component").join(parts.withColumnRenamed("id", "event_id"), "event_id")
+
+
+def _closed_parts(rows: DataFrame, window_us: int) -> DataFrame:
+    """event_id, group_id of the groups that are final, at least one of each component.
+
+    Inside the first window of a component, anchored grouping is plain connectedness over shared values, and nothing
+    earlier is left.  The part of the earliest event is final, since its window ends there.  Any other part is final
+    if none of its values comes again before the window behind its own first event is over.
     """
-    left, done = durable(rows), None
-    while left.limit(1).count():
-        first = left.groupBy("component").agg(F.min(F.struct("us", "seq", "event_id")).alias("f")).select(
-            "component", F.col("f.us").alias("start"), F.col("f.event_id").alias("first_id"))
-        cut = durable(left.join(first, "component").filter(F.col("us") - F.col("start") <= window_us))
-        pairs = cut.select("component", "event_id", F.explode(F.filter(
-            F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in keys]), lambda p: p["v"].isNotNull(),
-        )).alias("p"))
-        shared = pairs.groupBy("component", "p").agg(F.min("event_id").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        edges = pairs.join(shared, ["component", "p"]).select(F.col("event_id").alias("u"), "v").filter("u <> v").distinct()
-        parts = durable(connected_components(edges, cut.select(F.col("event_id").alias("id"))))
-        chosen = parts.join(first.select(F.col("first_id").alias("id")), "id", "left_semi").select("component").distinct()
-        taken = durable(parts.join(chosen, "component", "left_semi").select(
-            F.col("id").alias("event_id"), F.col("component").alias("group_id")))
-        done = taken if done is None else durable(done.unionByName(taken))
-        left = durable(left.join(taken.select("event_id"), "event_id", "left_anti"))
-    return done if done is not None else rows.select("event_id", F.col("event_id").alias("group_id"))
-
-
-def correlate_anchored(
-    events: DataFrame, window_seconds: float = 3600, keys: list[str] | None = None, task_rows: int = 500_000
-) -> DataFrame:
+    start = rows.groupBy("component").agg(F.min("us").alias("start"))
+    placed = rows.join(start, "component").withColumn("inside", F.col("us") - F.col("start") <= window_us)
+    cut = durable(placed.filter("inside").drop("inside"))
+    pairs = _value_pairs(cut)
+    shared = pairs.groupBy("component", "p").agg(F.min("event_id").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    edges = pairs.join(shared, ["component", "p"]).select(F.col("event_id").alias("u"), "v").filter("u <> v").distinct()
+    parts = durable(connected_components(edges, cut.select(F.col("event_id").alias("id"))).toDF("event_id", "part"))
+    later = _value_pairs(placed.filter("NOT inside")).groupBy("component", "p").agg(F.min("us").alias("again_us"))
+    member = cut.join(parts, "event_id")
+    again = pairs.join(parts, "event_id").select("component", "p", "part").distinct().join(later, ["component", "p"]).groupBy("part").agg(
+        F.min("again_us").alias("again_us"))
+    first = member.groupBy("part").agg(F.min("us").alias("anchor_us"), F.first("start").alias("start"))
+    final = first.join(again, "part", "left").filter(
+        F.col("again_us").isNull() | (F.col("anchor_us") == F.col("start")) | (F.col("again_us") - F.col("anchor_us") > window_us))
+    return parts.join(final.select("part"), "part").select("event_id", F.col("part").alias("group_id"))
+
+
+def correlate_anchored(events: DataFrame, window_seconds: float = 3600, keys: list[str] | None = None) -> DataFrame:
     """Events with their anchored group, named by its smallest id.
 
     In time order an event joins every group that shares a key value and began
     at most one window ago, merging them.  Such groups lie inside the components
-    of :func:`correlate_groups`, so components are independent: one no longer
-    than the window is a single group; longer ones go through the events in
-    order in one task each, up to ``task_rows`` events; the rest is taken apart
-    in distributed rounds.
+    of :func:`correlate_groups`, so components are independent; one no longer than
+    the window is a single group.  The others are taken apart in rounds, all of
+    them at once, at every size: a round closes the groups that are final, appends
+    them, and cuts what is left into components anew.  Every step is an aggregation,
+    an equi-join or a star contraction; no task holds a component.
+
+    There are at most as many rounds as the component with the most groups has groups;
+    groups of different components, and of parts that come apart, close side by side.
     """
     keys = keys or V.CORRELATION_KEYS
     window_us = int(window_seconds * MICROS)
     component = correlate_groups(events, window_seconds, keys).withColumnRenamed("group_id", "component")
-    rows = events.select(
-        "event_id", micros().alias("us"), "seq", *[F.col(k).cast("string").alias(k) for k in keys]
-    ).join(component, "event_id")
-    sizes = rows.groupBy("component").agg(
-        (F.max("us") - F.min("us")).alias("extent"), F.count(F.lit(1)).alias("n"))
-    placed = durable(rows.join(sizes, "component"))
-    short = placed.filter(F.col("extent") <= window_us).select("event_id", F.col("component").alias("group_id"))
-    long = placed.filter((F.col("extent") > window_us) & (F.col("n") <= task_rows)).groupBy("component").applyInPandas(
-        lambda pdf: _greedy_groups(pdf, window_us, keys), "event_id string, group_id string")
-    out = short.unionByName(long)
-    huge = placed.filter((F.col("extent") > window_us) & (F.col("n") > task_rows)).drop("extent", "n")
-    if huge.limit(1).count():
-        out = out.unionByName(_peel_groups(huge, window_us, keys))
-    return out
+    values = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys]), lambda p: p["v"].isNotNull())
+    left = durable(events.select("event_id", micros().alias("us"), values.alias("values")).join(component, "event_id"))
+    done = []
+    while True:
+        extent = left.groupBy("component").agg((F.max("us") - F.min("us")).alias("extent"))
+        sized = left.join(extent, "component")
+        done.append(durable(sized.filter(F.col("extent") <= window_us).select("event_id", F.col("component").alias("group_id"))))
+        left = durable(sized.filter(F.col("extent") > window_us).drop("extent"))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        closed = durable(_closed_parts(left, window_us))
+        done.append(closed)
+        left = durable(_recut(left.join(closed.select("event_id"), "event_id", "left_anti"), window_us))
