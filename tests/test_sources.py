@@ -6,6 +6,7 @@ from tracewell import ext
 from tracewell.operators import alerts, intel, normalize, risk
 from tracewell.plans import pipeline
 from tracewell.sources import logs, sinks
+from tracewell.streaming import ingest
 
 ALERT = {
     "id": "alert-1", "title": "Suspicious shell", "severity": "High", "timestamp": "2026-03-11T16:00:00Z", "host": "LAB-07", "user": "Mvega",
@@ -136,3 +137,61 @@ def test_names_of_events_do_not_depend_on_splits(spark, tmp_path):
         names.append({r.event_id for r in events.select("event_id").collect()})
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert names[0] == names[1] and len(names[0]) == 205
+
+
+def _stream_of(spark, df, folder):
+    df.write.parquet(folder)
+    return spark.readStream.schema(df.schema).parquet(folder)
+
+
+def _small_events(spark, ids, host, day="2026-01-01"):
+    docs = [(json.dumps({"EventID": 1, "UtcTime": f"{day} 10:00:0{i % 10}", "Computer": host, "Image": f"p{i}.exe"}), i) for i in ids]
+    raw = spark.createDataFrame(docs, "raw_data string, seq int")
+    return normalize.normalize(raw, parser="sysmon").withColumn("event_id", F.concat(F.lit("e"), "seq"))
+
+
+def test_event_store_keeps_the_latest_commit(spark, tmp_path):
+    store = str(tmp_path / "store")
+    sinks.write_events(_small_events(spark, range(6), "one"), store, 0)
+    sinks.write_events(_small_events(spark, [2, 3, 9], "two", "2026-02-02"), store, "again")
+    seen = lambda: {r.event_id: r.host for r in sinks.read_events(spark, store).collect()}
+    want = {"e0": "one", "e1": "one", "e2": "two", "e3": "two", "e4": "one", "e5": "one", "e9": "two"}
+    assert seen() == want
+    sinks.write_events(_small_events(spark, range(6), "one"), store, 0)  # repeated after a later one: the later one stays
+    assert seen() == want
+    sinks.write_events(_small_events(spark, range(5), "half"), store, 7)
+    lost = spark.createDataFrame([("e0", "x", "processes", "2026-01-01")], "event_id string, host string, table_name string, event_date string")
+    lost.write.partitionBy("table_name", "event_date").parquet(f"{store}/events/batch=bbroken")  # never committed
+    assert seen() == want | {f"e{i}": "half" for i in range(5)}
+    plan = sinks.read_events(spark, store).filter("table_name = 'processes' AND event_date = DATE '2026-02-02'")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in text and "event_date" in text and "hashpartitioning" not in text
+    assert [r.event_id for r in plan.collect()] == ["e9"]
+    sinks.compact_events(spark, store, str(tmp_path / "compact"))
+    assert {r.event_id: r.host for r in sinks.read_events(spark, str(tmp_path / "compact")).collect()} == seen()
+
+
+def test_streams_go_on_in_a_store(spark, tmp_path):
+    """Three runs: two with the first checkpoint, one with a new one; late, future and known alerts."""
+    def documents(ids, year):
+        return spark.createDataFrame([(json.dumps({"id": f"x{i}", "title": str(year), "timestamp": f"{year}-01-01T00:00:00Z"}), i) for i in ids], "raw string, seq int")
+
+    def run(df, source, log):
+        df.write.mode("append").parquet(str(tmp_path / source))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / source))
+        ingest.dedupe_alerts_stream(stream, str(tmp_path / "alerts"), str(tmp_path / log)).awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "alerts")).select("id", "title").collect()
+        assert len(rows) == len({r.id for r in rows})
+        return {r.id: r.title for r in rows}
+
+    assert run(documents([1, 2, 2], 2020), "in", "log") == {"x1": "2020", "x2": "2020"}
+    assert run(documents([2, 3], 1999), "in", "log") == {"x1": "2020", "x2": "2020", "x3": "1999"}
+    assert run(documents([1, 4], 2031), "other", "new-log") == {"x1": "2020", "x2": "2020", "x3": "1999", "x4": "2031"}
+
+    store = str(tmp_path / "events")
+    sinks.write_events(_small_events(spark, [1, 2], "batch"), store, 0)
+    for number, host in enumerate(["first", "second"]):
+        events = _stream_of(spark, _small_events(spark, [2, 3 + number], host), str(tmp_path / f"e{number}"))
+        ingest.upsert_events_stream(events, store, str(tmp_path / f"elog{number}")).awaitTermination()
+    got = {r.event_id: r.host for r in sinks.read_events(spark, store).collect()}
+    assert got == {"e1": "batch", "e2": "second", "e3": "first", "e4": "second"}

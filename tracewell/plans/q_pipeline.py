@@ -86,7 +86,7 @@ def dedupe_alerts_stream(s, d):
     late = alert_records(s, d).filter("seq % 7 = 0").withColumn("raw", F.concat(F.lit('{"id": "b'), F.col("seq"), F.lit('", "timestamp": "'), F.expr("1990 + seq % 60"), F.lit('-01-01T00:00:00Z"}')))
     late.unionByName(alert_records(s, d)).write.parquet(f"{folder}/in2")
     again = s.readStream.schema(late.schema).parquet(f"{folder}/in2")
-    ingest.dedupe_alerts_stream(again, f"{folder}/out", f"{folder}/log2", q_normalize.INGEST, first_batch=1).awaitTermination()
+    ingest.dedupe_alerts_stream(again, f"{folder}/out", f"{folder}/log2", q_normalize.INGEST).awaitTermination()
     return s.read.parquet(f"{folder}/out").select("id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.schema import EVENT_COLUMNS, with_table
@@ -15,27 +15,82 @@ def _latest(events: DataFrame, order: list[str]) -> DataFrame:
     return events.groupBy("event_id").agg(last).select(*[F.col(c) if c == "event_id" else F.col(f"l.{c}") for c in events.columns])
 
 
-def write_events(events: DataFrame, path: str, batch: int = 0) -> None:
-    """Store one batch of events: path/batch=N/table_name=T/event_date=D.
+#: The id index is cut into so many parts by hash; a batch reads the parts of its own ids only.
+ID_PARTS = 64
+#: Replaced rows that are broadcast to readers (an id and a batch name each); more are joined by shuffling.
+BROADCAST_REPLACED = 1_000_000
 
-    A batch is written whole or again, so repeating one after a failure leaves
-    no copies.  Readers see, per event id, the row of the latest batch: inserting
-    an id again replaces it, without rewriting what is there.
+
+def id_part(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(ID_PARTS)).cast("int")
+
+
+def in_parts_of(index: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of an index (partitioned by ``id_part``) that may hold one of ``ids``; other parts are not read."""
+    parts = [r["p"] for r in ids.select(id_part(column).alias("p")).distinct().collect()]
+    return index.filter(F.col("id_part").isin(parts))
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+
+
+def _commits(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Committed batches: name to (position, rows of other batches that it replaces)."""
+    if not there(spark, f"{path}/commits"):
+        return {}
+    return {r["name"]: (r["position"], r["replaced"]) for r in spark.read.schema("name string, position bigint, replaced bigint").parquet(f"{path}/commits").collect()}
+
+
+def write_events(events: DataFrame, path: str, batch: int | str = 0) -> None:
+    """Store one batch of events.
+
+    ``events`` holds the rows by batch, table and date, ``ids`` their ids by batch and hash part, ``replaced`` what a batch
+    makes void: (event_id, old_batch).  A batch counts once its row in ``commits`` is there, and later commits win, whatever
+    the names are.  Repeating a batch after a failure writes the same folders again and keeps its place; other batches
+    are never touched.  One writer at a time.
     """
+    spark, name = events.sparkSession, f"b{batch}"
+    before = _commits(spark, path)
+    position = before[name][0] if name in before else 1 + max((p for p, _ in before.values()), default=0)
     rows = with_table(events).withColumn("event_date", F.to_date("timestamp"))
     kept = _latest(rows.select(*EVENT_COLUMNS, "table_name", "event_date"), ["seq", "timestamp"])
-    kept.write.mode("overwrite").partitionBy("table_name", "event_date").parquet(f"{path}/batch={int(batch)}")
+    kept.hint("rebalance", "table_name", "event_date").write.mode("overwrite").partitionBy("table_name", "event_date").parquet(f"{path}/events/batch={name}")
+    own = spark.read.schema("event_id string").parquet(f"{path}/events/batch={name}").withColumn("id_part", id_part("event_id"))
+    own.repartition("id_part").write.mode("overwrite").partitionBy("id_part").parquet(f"{path}/ids/batch={name}")
+    own = spark.read.schema("event_id string, id_part int").parquet(f"{path}/ids/batch={name}")
+    replaced = 0
+    others = {n: p for n, (p, _) in before.items() if n != name}
+    if others:
+        index = spark.read.schema("event_id string, batch string, id_part int").parquet(f"{path}/ids").filter(F.col("batch").isin(list(others)))
+        newer = [n for n, p in others.items() if p > position]
+        both = in_parts_of(index, own, "event_id").join(own.select("event_id"), "event_id")
+        void = both.select("event_id", F.when(F.col("batch").isin(newer), F.lit(name)).otherwise(F.col("batch")).alias("old_batch"))
+        void.distinct().write.mode("overwrite").parquet(f"{path}/replaced/batch={name}")
+        replaced = spark.read.schema("event_id string, old_batch string").parquet(f"{path}/replaced/batch={name}").count()
+    row = spark.range(1).select(F.lit(name).alias("name"), F.lit(position).cast("bigint").alias("position"), F.lit(replaced).cast("bigint").alias("replaced"))
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch={name}")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The stored events, one row per id; filters on table_name and event_date prune folders only after compaction,
-    since a later batch may have moved an id to another table."""
-    stored = spark.read.parquet(path)
-    return _latest(stored, ["batch", "seq"]).drop("batch", "event_date")
+    """The stored events, one row per id: that of the latest batch.
+
+    Only ids that came in several batches are looked up; filters on table_name and event_date prune folders, and the rows
+    themselves are not shuffled while the replaced ones are few enough to be broadcast.
+    """
+    commits = _commits(spark, path)
+    rows = spark.read.parquet(f"{path}/events").filter(F.col("batch").isin(list(commits)))
+    n = sum(replaced for _, replaced in commits.values())
+    if n:
+        void = spark.read.schema("event_id string, old_batch string, batch string").parquet(f"{path}/replaced").filter(F.col("batch").isin(list(commits)))
+        void = void.select("event_id", F.col("old_batch").alias("batch"))
+        rows = rows.join(F.broadcast(void) if n <= BROADCAST_REPLACED else void, ["event_id", "batch"], "left_anti")
+    return rows.drop("batch")
 
 
 def compact_events(spark: SparkSession, path: str, target: str) -> None:
-    """The stored events as a single batch in a new folder, which readers can then prune."""
+    """The stored events as a single batch in a new folder."""
     write_events(read_events(spark, path), target, 0)
 
 
