@@ -10,7 +10,8 @@ A batch of changes (doc_id, tokenizer, source, lang, n_tokens, op) is compared w
 count adds its new contribution and takes back the one that the ledger holds, a delete only takes back.  So an insert
 of a document that is there already revises it, a revision of an unknown one inserts it, and a delete of an unknown one
 changes nothing.  The commit row comes last: readers see committed batches only, a batch that died half way is written
-again over its remains, and a repeated batch is recognised by its number and left out.  The same number with other
+again over its remains, and a repeated batch is recognised by its number and left out.  Batches apply in the order in which
+they are committed, whatever their numbers: what a late one finds is the ledger as it then is.  The same number with other
 changes is an error.  Totals are sums of deltas, so they are additive and never need the documents again.
 
 Only keys and counts are shuffled, never texts; a source of a third of all rows is summed before the shuffle.  Nulls are
@@ -32,7 +33,9 @@ KEY = ["doc_id", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint, live boolean, batch bigint"
 DELTAS = "source string, lang string, tokenizer string, d_docs bigint, d_tokens bigint, batch bigint"
-COMMITS = "fingerprint string, n_changes bigint, batch bigint"
+COMMITS = "fingerprint string, n_changes bigint, position bigint, batch bigint"
+#: Commits that are broadcast with what they bring; longer lists are joined by shuffling.
+BROADCAST_COMMITS = 100_000
 
 #: Tokenizer versions that need no vocabulary: words, and runs of letters, runs of digits and single other characters.
 PIECES = r"\p{L}+|\p{N}+|[^\p{L}\p{N} \t-\r]"
@@ -83,13 +86,14 @@ class TokenRollup:
         return self._read("commits", COMMITS)
 
     def _committed(self, name: str, schema: str) -> DataFrame:
-        """Rows of committed batches; the list of batch numbers becomes a partition filter of the scan."""
-        return self._read(name, schema).join(F.broadcast(self.commits().select("batch")), "batch", "left_semi")
+        """Rows of committed batches with the ``position`` of their commit; the batch numbers become a partition filter of the scan."""
+        commits = self.commits().select("batch", "position")
+        return self._read(name, schema).join(F.broadcast(commits) if commits.count() <= BROADCAST_COMMITS else commits, "batch")
 
     def contributions(self) -> DataFrame:
         """What each (doc_id, tokenizer) contributes now, deleted ones included."""
         latest = self._committed("ledger", LEDGER).groupBy(*KEY).agg(
-            F.max_by(F.struct("source", "lang", "n_tokens", "live"), "batch").alias("now"))
+            F.max_by(F.struct("source", "lang", "n_tokens", "live"), "position").alias("now"))
         return latest.select(*KEY, "now.*")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
@@ -115,7 +119,8 @@ class TokenRollup:
                 F.col("was_source").alias("source"), F.col("was_lang").alias("lang"), "tokenizer", F.lit(-1).alias("d"), (-F.col("was_tokens")).alias("t"))
             deltas = plus.unionByName(minus).groupBy(*GROUP).agg(F.sum("d").alias("d_docs"), F.sum("t").alias("d_tokens"))
             self._write(deltas, "deltas", batch)
-            self._write(self.spark.createDataFrame([print_of], "fingerprint string, n_changes bigint"), "commits", batch)
+            position = 1 + (self.commits().agg(F.max("position")).first()[0] or 0)
+            self._write(self.spark.createDataFrame([(*print_of, position)], "fingerprint string, n_changes bigint, position bigint"), "commits", batch)
             return True
         if tuple(self._fingerprint(given)) != (before[batch]["fingerprint"], before[batch]["n_changes"]):
             raise ValueError(f"batch {batch} was committed with other changes")
