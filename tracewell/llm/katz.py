@@ -193,19 +193,21 @@ def scored(documents: DataFrame, training: Column, order: int = ORDER) -> DataFr
     model = Katz.train(rows.filter("training"), order)
     size = model.grams(1).agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V")).first()
     total, types = size["N"] or 0, size["V"]
-    # rows of a file keep their numbers when a task is repeated
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # named by what it holds, a row has the same name in every evaluation of the input; equal rows share one, and each gets its part
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()))
+    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     each = occurrences(rows, order)
     single = each.groupBy("row", "w").agg(F.sum("n").alias("n")).join(model.grams(1).select("w", "c"), "w", "left")
     known = F.coalesce("c", F.lit(0))
     base = single.groupBy("row").agg(
         F.sum("n").alias("n_tokens"), F.sum(F.when(known > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("n") * F.log10((known + 0.1) / F.lit(total + 0.1 * (types + 1)))).alias("base_score"))
-    result = rows.select("row", "doc_id", (~F.col("training")).alias("held_out")).join(base, "row").join(model.log_probabilities(each), "row")
-    trained = F.lit(total > 0)
+    sums = base.join(model.log_probabilities(each), "row").join(copies, "row")
+    result = rows.select("row", "doc_id", (~F.col("training")).alias("held_out")).join(sums, "row")
+    trained, part = F.lit(total > 0), lambda c: (F.col(c) / F.col("copies")).cast("bigint").alias(c)
     return result.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
-        F.when(trained, F.col("base_score")).alias("base_score"), F.when(trained, F.col("score")).alias("score"))
+        "doc_id", "held_out", part("n_tokens"), part("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
+        F.when(trained, F.col("base_score") / F.col("copies")).alias("base_score"), F.when(trained, F.col("score") / F.col("copies")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
