@@ -21,8 +21,9 @@ own document goes there too; of text that repeats itself with a period of less t
 Everything keyed by a unit's hash is aggregated before it is shuffled and then joined, so a passage in a third of all
 documents is spread like any other; what is gathered by document is bounded by the document's own length.
 
-Defined results: null, empty and blank texts have no spans; repeated rows with one id count as one document, whose first
-row's text is used; documents whose id is null are left alone; other columns are ignored.
+Defined results: null, empty and blank texts have no spans; repeated rows count as one document, and each loses
+the same spans; rows whose id also names another text are left alone, neither cut nor kept as a first occurrence, so that
+no text is cut by another one's spans; documents whose id is null are left alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.crowds import crowded_links, mixed_members, small_pairs
 from tracewell.llm.neardup import star_pairs
-from tracewell.llm.tables import stored, table
+from tracewell.llm.tables import stored, table, unused
 from tracewell.llm.wordbatch import Words, binaries, distinct_sorted, mix, shingles, slices, within
 from tracewell.operators.components import star_edges
 
@@ -316,8 +317,17 @@ def paragraph_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
     return whole.unionByName(settled.filter(apart).select(*span))
 
 
+def _of_one_text(documents: DataFrame) -> DataFrame:
+    """The documents without the rows whose id names several texts."""
+    hashes = documents.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
+    several = stored(hashes.groupBy("doc_id").agg(F.min("h").alias("h"), F.max("h").alias("i"), F.min("g").alias("g"), F.max("g").alias("k")).filter(
+        "h <> i OR g <> k").select("doc_id"), "passage-clashes")
+    return documents if several.isEmpty() else documents.join(several, "doc_id", "left_anti")
+
+
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc_id, begin, end (in words) of what repeats text that stays elsewhere."""
+    documents = _of_one_text(documents.select("doc_id", "text"))
     found = stored(units(documents), "passage-units", "line")
     gone = stored(paragraph_spans(documents, found.filter("line")), "passage-gone")
 
@@ -344,13 +354,14 @@ def without_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     remains keeps an empty text.
     """
     columns = documents.columns
-    lists = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    own, listed_as = unused("id", columns), unused("spans", columns)
+    lists = spans.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("begin", "end")).alias(listed_as))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(part.column("text"))
             texts = part.column("text").to_pylist()
-            for i, listed in enumerate(part.column("_spans").to_pylist()):
+            for i, listed in enumerate(part.column(listed_as).to_pylist()):
                 if listed:
                     first, at = words.first[i], words.offsets[i]
                     pieces = []
@@ -363,11 +374,11 @@ def without_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
             if "n_chars" in columns:
                 lengths = [None if t is None else len(t) for t in texts]
                 old = part.column("n_chars")
-                new = pa.compute.if_else(pa.compute.is_valid(part.column("_spans")), pa.array(lengths, pa.int64()).cast(old.type), old)
+                new = pa.compute.if_else(pa.compute.is_valid(part.column(listed_as)), pa.array(lengths, pa.int64()).cast(old.type), old)
                 out[columns.index("n_chars")] = new
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    joined = documents.join(lists, documents["doc_id"] == lists["_id"], "left").drop("_id")
+    joined = documents.join(lists, documents["doc_id"] == lists[own], "left").drop(own)
     return joined.mapInArrow(cut, documents.schema)
 
 
