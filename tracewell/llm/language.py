@@ -7,8 +7,9 @@ would otherwise serve as its own dictionary; the sizes of the blocks add up, so
 bounded by one Arrow batch.
 
 The sample has up to ``SAMPLE_TEXTS`` texts of ``SAMPLE_LENGTH`` characters for each language, those with the smallest hash of
-their id: the dictionaries are a few hundred KB each and go to the executors with the function.  More than
-``MAX_LANGUAGES`` languages are an error.
+their id: the dictionaries are a few hundred KB each and go to the executors with the function.  A language with fewer such
+texts is filled up with pieces of longer texts and with shorter ones.  Of more than ``USUAL_LANGUAGES`` languages each has
+fewer texts, so that the whole sample has the same bound.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned;
 ties go to the language with more training texts, then by name; repeated rows are judged alike; other columns are
@@ -28,7 +29,10 @@ from tracewell.llm.tables import crc_fold, table
 
 SAMPLE_TEXTS = 96
 SAMPLE_LENGTH = (120, 4000)
-MAX_LANGUAGES = 250
+#: Up to so many languages have SAMPLE_TEXTS texts each; of more, each has fewer, so that the sample stays bounded.
+USUAL_LANGUAGES = 250
+#: Times as many longer or shorter texts fill up a language that has too few of usual length.
+FILL = 8
 #: Bytes of text that are encoded at once, and zstandard's level.
 BLOCK = 4096
 LEVEL = 3
@@ -46,19 +50,36 @@ def plain(text: str | None) -> str:
     return _NO_LETTER.sub(" ", text.lower()).strip() if text else ""
 
 
-def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
-    """(language, dictionary) from a bounded sample, the language with most texts first."""
-    low, high = SAMPLE_LENGTH
-    known = labelled.filter("lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+def _texts(rows: DataFrame, most: int) -> dict[str, list[str]]:
+    """Up to ``most`` texts of each language, chosen by a hash of the id."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    sample = known.filter(F.length("text").between(low, high)).select("lang", "doc_id", "text").withColumn(
-        "k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_TEXTS)
+    chosen = rows.select("lang", "doc_id", "text").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
     texts: dict[str, list[str]] = {}
-    for row in sample.orderBy("lang", "k").collect():
+    for row in chosen.orderBy("lang", "k").collect():
         texts.setdefault(row["lang"], []).append(plain(row["text"]))
+    return texts
+
+
+def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
+    """(language, dictionary) from a bounded sample, the language with most texts first.
+
+    Languages with too few texts of usual length are filled up with pieces of longer ones and with shorter ones.
+    """
+    low, high = SAMPLE_LENGTH
+    known = labelled.filter("lang IS NOT NULL")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = min(SAMPLE_TEXTS, max(1, SAMPLE_TEXTS * USUAL_LANGUAGES // max(1, len(counts))))
+    texts = _texts(known.filter(F.length("text").between(low, high)), most)
+    few = [lang for lang in counts if len(texts.get(lang, [])) < most]
+    if few:
+        at = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.lit(1), F.length("text") - high + 1)).cast("int") + 1
+        others = known.filter(F.col("lang").isin(few) & ~F.length("text").between(low, high)).withColumn("text", F.substring("text", at, F.lit(high)))
+        for lang, more in _texts(others, most * FILL).items():
+            size = sum(map(len, texts.setdefault(lang, [])))
+            for text in more:
+                if size < most * high // 4:
+                    texts[lang].append(text)
+                    size += len(text)
     found = [(lang, " ".join(t).encode()) for lang, t in texts.items()]
     return sorted(((lang, d) for lang, d in found if len(d) >= 8), key=lambda x: (-counts[x[0]], x[0]))
 
@@ -85,7 +106,7 @@ class Judge:
     def __call__(self, text: str | None) -> tuple[str, float, bool, int, int]:
         """Language, score, accepted, bytes with the best dictionary, bytes that the second takes more."""
         body = plain(text)
-        if not body or not self.names:
+        if not any(map(str.isalpha, body)) or not self.names:
             return UNDETERMINED, 0.0, False, 0, 0
         sizes = self.sizes(body)
         best = min(range(len(sizes)), key=sizes.__getitem__)
