@@ -123,7 +123,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     each = whole.unionByName(starts.filter("entry IS NOT NULL").distinct())
     counted = each.groupBy("entry", "prefix").agg(
         F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("a"), F.count(F.lit(1)).alias("n"))
-    rate = sample.agg((F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)) + 0.5) / (F.count(F.lit(1)) + 1.0)).first()[0]
+    rate = sample.agg((F.count_if(F.col("toxic") == 1) + 0.5) / (F.count(F.lit(1)) + 1.0)).first()[0]
     w = F.col("w")
     evidence = F.col("a") * F.log(w / rate) + (F.col("n") - F.col("a")) * F.log((1.0 - w) / (1.0 - rate))
     precise = counted.filter("a > 1").withColumn("w", (F.col("a") + 0.2) / (F.col("n") + 1.0)).filter(
