@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import DOCUMENT, stored, table
+from tracewell.llm.tables import DOCUMENT, stored, table, unused
 
 #: Target shares in production; the sources not named share the rest in proportion to their size.
 TARGETS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.02}
@@ -72,13 +72,13 @@ def mixed(documents: DataFrame, targets: dict[str, float] | None = None, passes:
     """One row for each copy of each document, dealt out at random: the columns of ``documents``, rate, n_copies, copy, shuffle_key."""
     documents = documents.drop("rate", "pieces", "n_copies", "copy", "shuffle_key")
     means = stored(rates(documents, TARGETS if targets is None else targets, passes), "mix-rates")
-    if means.count() <= BROADCAST_SOURCES:
-        means = F.broadcast(means)
-    drawn = documents.join(means, documents["source"].eqNullSafe(F.col("_source")))
+    own, steps = unused("source", documents.columns), unused("steps", documents.columns)
+    few, means = means.count() <= BROADCAST_SOURCES, means.withColumnsRenamed({"_source": own, "_steps": steps})
+    drawn = documents.join(F.broadcast(means) if few else means, F.col("source").eqNullSafe(F.col(own)))
     copies = F.aggregate(
         F.sequence(F.lit(1), F.col("pieces")), F.lit(0),
-        lambda n, j: n + F.size(F.filter("_steps", lambda c: c <= _uniform(F.lit(seed), F.col("doc_id"), j))))
-    drawn = drawn.withColumn("n_copies", copies).filter("n_copies > 0").drop("_source", "_steps", "pieces")
+        lambda n, j: n + F.size(F.filter(steps, lambda c: c <= _uniform(F.lit(seed), F.col("doc_id"), j))))
+    drawn = drawn.withColumn("n_copies", copies).filter("n_copies > 0").drop(own, steps, "pieces")
     each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     key = F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
     return each.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
