@@ -190,6 +190,72 @@ def test_rollup_commits_once(spark):
         store.commit(1, first)
 
 
+def test_rollup_applies_in_order_of_commits(spark):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint, op string, seq int")
+    insert = make([(1, "t", "a", "en", 10, "insert", 0), (2, "t", "a", "en", 1, "insert", 0)])
+    revise, delete = make([(1, "t", "a", "en", 4, "revise", 0)]), make([(1, "t", "a", "en", 0, "delete", 0)])
+    for order, want in [((5, 3, 6), (1, 1)), ((1, 2, 3), (1, 1)), ((9, 8, 7), (1, 1))]:
+        store = rollup.TokenRollup(spark, shared_folder(spark, "rollup-order"))
+        for number, changes in zip(order, (insert, revise, delete)):
+            assert store.commit(number, changes) and not store.commit(number, changes)
+        assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [want]
+    store = rollup.TokenRollup(spark, shared_folder(spark, "rollup-order"))
+    assert store.totals().count() == 0
+    assert store.commit(5, insert) and store.commit(6, delete) and store.commit(3, revise)  # comes back, as it comes last
+    assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(2, 5)]
+    assert store.commit(7, insert.limit(0)) and store.totals().count() == 1
+
+
+def test_katz_scores_do_not_hang_on_the_order_of_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(0, 30), 40)) for i in range(60)] + [(7, None), (None, "w1x w2x"), (3, ""), (3, "")] + [(90, "w1x w2x w3x")] * 3
+    docs = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id int, text string, row string, copies int")
+    training = crc_fold(F.col("doc_id"), 10) != 0
+    one, other = (sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in katz.scored(d, training).collect()], key=repr)
+                  for d in (docs, docs.repartition(5)))
+    assert one == other and len(one) == len(rows)
+    assert {r[2] for r in one if r[0] == 90} == {4} and {r[2] for r in one if r[0] == 7} == {1, len(words_of(dict(rows[:60])[7])) + 1}
+    assert katz.scored(docs.limit(0), training).count() == 0
+
+
+def test_clashing_ids_lose_no_text(spark):
+    rng = random.Random(8)
+    long, other = prose(rng, 150, 10**6), prose(rng, 150, 10**6)
+    rows = [(0, long), (1, long), (1, other), (2, other), (3, long), (4, "short"), (4, long), (5, long), (5, long)]
+    docs = spark.createDataFrame([(i, t, "q", "r") for i, t in rows], "doc_id int, text string, _id string, _spans string")
+    got = passages.without_spans(docs, passages.repeated_spans(docs)).collect()
+    assert sorted((r.doc_id, r.text.strip()) for r in got) == sorted(
+        [(0, long), (1, long), (1, other), (2, other), (3, ""), (4, "short"), (4, long), (5, ""), (5, "")])
+
+
+def test_languages_with_short_or_long_texts_only(spark):
+    rng = random.Random(9)
+    stock = {"ab": "the cat sat on a mat and saw many dogs".split(), "cd": "der hund sah eine katze auf dem dach".split(), "ef": "le chat voit un chien sous la table".split()}
+    say = lambda lang, n: " ".join(rng.choice(stock[lang]) for _ in range(n))
+    rows = [(i, say("ab", 6), "ab") for i in range(40)] + [(100 + i, say("cd", 2000), "cd") for i in range(3)] + [(200 + i, say("ef", 60), "ef") for i in range(20)]
+    learned = language.dictionaries(spark.createDataFrame(rows + [(300, "??", "gh"), (301, None, "gh")], "doc_id int, text string, lang string"))
+    assert {lang for lang, _ in learned} == {"ab", "cd", "ef"}
+    asked = [(i, say(lang, 8), lang) for i, lang in enumerate(["ab", "cd", "ef"] * 10)]
+    odd = [(90, "\u00b2\u00b3\u00bd", "und"), (91, "\u2163 12", "und"), (92, None, "und")]
+    got = {r.doc_id: r.lang_pred for r in language.identified(spark.createDataFrame(asked + odd, "doc_id int, text string, want string"), learned).collect()}
+    assert sum(got[i] == lang for i, _, lang in asked) >= 27 and all(got[i] == want for i, _, want in odd)
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "i will kill you"), (2, None), (3, ""), (3, "")], "doc_id int, text string")
+    entries, weights = toxicity.learned(docs, spark.createDataFrame([], "doc_id int, toxic int"))
+    got = toxicity.matched(docs, entries, weights).collect()
+    assert entries == [] and len(got) == 4 and all(0 <= r.score <= 1 for r in got)
+    assert max(got, key=lambda r: r.score).doc_id == 1
+    assert toxicity.matched(docs.limit(0), entries, weights).count() == 0
+
+
+def test_mixing_with_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "t", "en", "a", 1, 5, 6) for i in range(20)], DOCS + ", _source int, _steps int")
+    got = mixing.mixed(docs)
+    assert set(docs.columns) <= set(got.columns) and {(r._source, r._steps) for r in got.collect()} == {(5, 6)}
+
+
 def test_language_of_held_out_texts(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learned = language.dictionaries(documents.filter(crc_fold(F.col("doc_id"), 5) != 0))
