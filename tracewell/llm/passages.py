@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.crowds import crowded_links, mixed_members, small_pairs
 from tracewell.llm.neardup import star_pairs
-from tracewell.llm.tables import stored, table, unused
+from tracewell.llm.tables import forget, stored, table, unused
 from tracewell.llm.wordbatch import Words, binaries, distinct_sorted, mix, shingles, slices, within
 from tracewell.operators.components import star_edges
 
@@ -299,10 +299,12 @@ def paragraph_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
     edges = roots.toDF("u", "v").unionByName(more)
     roots = star_edges(edges).select(F.col("a").alias("key"), F.col("b").alias("root"))
     rooted = classes.select("key", "times", "first_wrapped").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    forget(bands, sets, members)  # the roots are stored
     groups = rooted.groupBy("root").agg(F.min("first_wrapped").alias("keep"), F.sum("times").alias("n_units")).filter("n_units > 1").drop("n_units")
     kept = rooted.join(groups, "root").select("key", "root", "keep")
     copies = stored(found.select("key", "doc_id", "pos", "n", "wrapped").join(kept, "key").drop("key"), "passage-copies")
 
+    forget(classes)
     place = F.struct("doc_id", "pos", "n")
     span = ("doc_id", F.col("pos").alias("begin"), (F.col("pos") + F.col("n")).alias("end"))
     whole = stored(copies.filter(F.col("wrapped") & (place != F.col("keep"))).select(*span).distinct(), "passage-wrapped")
@@ -336,6 +338,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     cut = gone.toDF("_id", "begin", "end")
     touches = (F.col("doc_id") == F.col("_id")) & (F.col("pos") < F.col("end")) & (F.col("pos") + BLOCK > F.col("begin"))
     left = stored(blocks.join(several, "key", "left_semi").join(cut, touches, "left_anti"), "passage-blocks")
+    forget(found)
     firsts = left.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("keep"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("key", "keep")
     twice = left.join(firsts, "key").select("doc_id", F.lit(False).alias("line"), "pos", F.lit(BLOCK).alias("n"), "key", "keep.*")
     twice = twice.toDF("doc_id", "line", "pos", "n", "key", "keep_doc", "keep_pos")
@@ -343,6 +346,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     requests = twice.groupBy("doc_id").agg(F.collect_list(F.struct(*_ASKED)).alias("asked"))
     requests = requests.join(limits, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     known = stored(details(documents, requests), "passage-details", "kind")
+    forget(left)
     runs = _extended(known.filter(F.col("kind").isin(_LEFT, _RIGHT)), known.filter(F.col("kind") == _KEPT))
     return merged(gone.withColumn("whole", F.lit(True)).unionByName(runs.withColumn("whole", F.lit(False))), LEAST_REMOVED)
 

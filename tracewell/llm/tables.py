@@ -31,7 +31,18 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read again: later work doesn't hang on executors that may be lost."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    # nothing refers to the shuffle files of this step any more: a collection on the driver lets Spark's cleaner remove them
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` made, once what was made of them is stored itself."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def unused(name: str, columns: list[str]) -> str:
