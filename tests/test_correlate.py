@@ -105,6 +105,22 @@ def test_pairs_and_groups(spark, seed, window):
     got = correlate.entity_correlation(events, window, _KEYS).collect()
     assert {(r.event_a_id, r.event_b_id, r.correlation_key) for r in got} == pairs and len(got) == len(pairs)
     assert _groups(correlate.correlate_groups(events, window, _KEYS)) == groups
+    n = defaultdict(int)
+    for a, _, k in pairs:
+        n[k, next(r[k] for r in rows if r["event_id"] == a)] += 1
+    counted = {(r.correlation_key, r.correlation_value): r.n_pairs for r in correlate.entity_pair_counts(events, window, _KEYS).collect()}
+    assert {k: v for k, v in counted.items() if v} == dict(n)
+    links = correlate.entity_links(events, window, _KEYS).collect()
+    assert len({(r.event_id, r.correlation_key) for r in links}) == len(links) and {
+        (min(r.event_id, r.next_event_id), max(r.event_id, r.next_event_id), r.correlation_key) for r in links} <= pairs
+    parent = {r["event_id"]: r["event_id"] for r in rows}
+    for r in links:
+        ra, rb = _find(parent, r.event_id), _find(parent, r.next_event_id)
+        parent[max(ra, rb)] = min(ra, rb)
+    linked = defaultdict(set)
+    for x in parent:
+        linked[_find(parent, x)].add(x)
+    assert {frozenset(g) for g in linked.values()} == groups
 
 
 @pytest.mark.parametrize("seed,window", [(5, 30), (6, 300), (7, 900), (8, 2000)])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
@@ -154,16 +154,20 @@ def correlation_keys(events: DataFrame, keys: list[str] | None = None) -> DataFr
 
 
 def entity_correlation(
-    events: DataFrame, window_seconds: float = 3600, keys: list[str] | None = None
+    events: DataFrame, window_seconds: float = 3600, keys: list[str] | None = None, values: DataFrame | None = None
 ) -> DataFrame:
     """Pairs of events that share a key value within the window (C4).
 
     The earlier event of a pair looks forward only, so one copy per touched
     bucket suffices.  The number of rows is that of the answer: for a value that
     is everywhere (a protocol, port 443) it grows with the square of its rate.
-    Grouping does not need these pairs, see :func:`correlate_groups`.
+    :func:`entity_pair_counts` says beforehand how many rows each value gives, and
+    ``values`` (correlation_key, correlation_value) names those whose pairs are wanted.
+    :func:`entity_links` and :func:`correlate_groups` do without pairs.
     """
     index = correlation_keys(events, keys).withColumn("us", micros())
+    if values is not None:
+        index = index.join(values.select("correlation_key", "correlation_value"), ["correlation_key", "correlation_value"], "left_semi")
     on = ["correlation_key", "correlation_value", "bucket"]
     early = _touched_buckets(
         index.select(
@@ -190,6 +194,55 @@ def entity_correlation(
     )
 
 
+def entity_pair_counts(events: DataFrame, window_seconds: float = 3600, keys: list[str] | None = None) -> DataFrame:
+    """correlation_key, correlation_value, n_events, n_pairs: how many pairs within the window each value has (C4), exact, without forming one.
+
+    Events are counted by (value, time) first.  Let C(t) be the number of a value's events up to t: its pairs are the sum
+    over times t of n(t) * (C(t + window) - C(t)), and n * (n - 1) / 2 at one time.  C comes from the running sum inside a
+    bucket and the sum of the buckets before, so a value with a third of all events is spread over its buckets.
+    """
+    width, window_us = _bucket_width(window_seconds), int(window_seconds * MICROS)
+    value = ["correlation_key", "correlation_value"]
+    times = correlation_keys(events, keys).withColumn("us", micros()).groupBy(*value, "us").agg(F.count(F.lit(1)).alias("n"))
+    # a time counts where it is; a question about its end of the window is put there too, behind the times that are equal
+    marks = times.select(*value, F.explode(F.array(
+        F.struct(F.col("us").alias("at"), F.lit(0).alias("ask"), F.col("n").alias("n"), F.lit(0).cast("bigint").alias("weight")),
+        F.struct((F.col("us") + window_us).alias("at"), F.lit(1).alias("ask"), F.lit(0).cast("bigint").alias("n"), F.col("n").alias("weight")),
+    )).alias("m")).select(*value, "m.*").withColumn("bucket", F.floor(F.col("at") / F.lit(width)))
+    buckets = marks.groupBy(*value, "bucket").agg(F.sum("n").alias("in_bucket"))
+    ahead = Window.partitionBy(*value).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(*value, "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy(*value, "bucket").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = marks.withColumn("inside", F.sum("n").over(inside))
+    # summed inside the bucket with the bucket's offset as a factor, so that only one row of a bucket is joined
+    sums = running.groupBy(*value, "bucket").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("weight") * F.col("inside") - F.col("n") * F.col("inside")).alias("own"), F.sum(F.col("weight") - F.col("n")).alias("times_ahead"),
+        F.sum(F.expr("n * (n - 1) div 2")).alias("ties"))
+    return sums.join(buckets, [*value, "bucket"]).groupBy(*value).agg(
+        F.sum("n").alias("n_events"), F.sum(F.col("own") + F.col("times_ahead") * F.col("ahead") + F.col("ties")).alias("n_pairs"))
+
+
+def entity_links(events: DataFrame, window_seconds: float = 3600, keys: list[str] | None = None) -> DataFrame:
+    """Each event with the next one of the same key value, if that is within the window (C4, linear form).
+
+    One row at most for each event and key; the links of a value connect exactly the events that its pairs connect.
+    Order is time, then event id; the last event of a time bucket meets the first of the next one by a join.
+    """
+    width, window_us = _bucket_width(window_seconds), int(window_seconds * MICROS)
+    on = ["correlation_key", "correlation_value", "bucket"]
+    index = correlation_keys(events, keys).withColumn("us", micros()).withColumn("bucket", F.floor(F.col("us") / F.lit(width)))
+    event = F.struct("us", "event_id", "table_name")
+    following = F.lead(event).over(Window.partitionBy(*on).orderBy("us", "event_id"))
+    own = index.select(*on, "event_id", "table_name", "us", following.alias("next"))
+    first = index.groupBy(*on).agg(F.min(event).alias("first")).withColumn("bucket", F.col("bucket") - 1)
+    ends = own.filter("next IS NULL").join(first, on).withColumn("next", F.col("first")).drop("first")
+    delta = F.col("next.us") - F.col("us")
+    return own.filter("next IS NOT NULL").unionByName(ends).filter(delta <= window_us).select(
+        "event_id", F.col("next.event_id").alias("next_event_id"), "table_name", F.col("next.table_name").alias("next_table"),
+        "correlation_key", "correlation_value", (delta / MICROS).alias("delta_seconds"))
+
+
 def _group_edges(events: DataFrame, window_seconds: float, keys: list[str] | None) -> DataFrame:
     """A linear number of edges with the components of all pairs within the window.
 

@@ -62,11 +62,12 @@ _add(
 
 # ------------------------------------------------------------------ keys and links
 
-_KEYS_CTE = "correlation_index AS (" + " UNION ALL ".join(
-    f"SELECT event_id, table_name, '{k}' AS correlation_key, CAST(\"{k}\" AS VARCHAR) AS correlation_value, "
-    f'timestamp FROM sec_events WHERE "{k}" IS NOT NULL'
-    for k in V.CORRELATION_KEYS
-) + ")"
+_KEYS_CTE = (
+    "correlation_index AS MATERIALIZED (SELECT event_id, table_name, p.k AS correlation_key, p.v AS correlation_value, timestamp FROM ("
+    "SELECT event_id, table_name, timestamp, unnest(["
+    + ", ".join(f"{{'k': '{k}', 'v': CAST(\"{k}\" AS VARCHAR)}}" for k in V.CORRELATION_KEYS)
+    + "]) AS p FROM sec_events) WHERE p.v IS NOT NULL)"
+)
 _add(
     "correlation_keys",
     lambda s, d: ts_text(correlate.correlation_keys(sec_events(s, d)), "timestamp"),
@@ -76,21 +77,25 @@ _add(
         _KEYS_CTE,
     ),
 )
+_PROCESSES = "procs AS MATERIALIZED (SELECT *, epoch_us(timestamp) AS us FROM sec_events WHERE table_name = 'processes')"
 _add(
     "process_lineage",
     lambda s, d: ts_text(
         correlate.process_lineage(sec_events(s, d), DAY), "child_timestamp", "parent_timestamp"
     ),
     oracle(
-        "SELECT c.event_id AS child_event_id, p.event_id AS parent_event_id, c.host, "
-        "c.process_name AS child_process, p.process_name AS parent_process, c.process_guid AS child_guid, "
-        "p.process_guid AS parent_guid, " + sql_ts("c.timestamp", "child_timestamp") + ", "
-        + sql_ts("p.timestamp", "parent_timestamp")
-        + " FROM sec_events c JOIN sec_events p ON c.host = p.host AND c.table_name = 'processes' "
-        "AND p.table_name = 'processes' AND ((c.parent_process_guid IS NOT NULL AND "
-        "c.parent_process_guid = p.process_guid) OR (c.parent_process_pid IS NOT NULL AND "
-        "c.parent_process_pid = p.process_pid AND c.parent_process_guid IS NULL)) "
-        "AND c.event_id <> p.event_id AND " + _band("c.timestamp", "p.timestamp", DAY)
+        # a child names its parent by guid if it has one, else by pid
+        "SELECT child.event_id AS child_event_id, born.event_id AS parent_event_id, child.host, child.process_name AS child_process, "
+        "born.process_name AS parent_process, child.process_guid AS child_guid, born.process_guid AS parent_guid, "
+        + sql_ts("child.timestamp", "child_timestamp") + ", " + sql_ts("born.timestamp", "parent_timestamp")
+        + " FROM (SELECT child_id, parent_id FROM by_guid UNION SELECT child_id, parent_id FROM by_pid) link "
+        "JOIN procs child ON link.child_id = child.event_id JOIN procs born ON link.parent_id = born.event_id "
+        f"WHERE child_id <> parent_id AND child.us - born.us BETWEEN -{DAY * 1000000} AND {DAY * 1000000}",
+        _PROCESSES,
+        "by_guid AS (SELECT k.event_id AS child_id, q.event_id AS parent_id FROM procs k JOIN procs q USING (host) "
+        "WHERE k.parent_process_guid = q.process_guid)",
+        "by_pid AS (SELECT k.event_id AS child_id, q.event_id AS parent_id FROM (SELECT * FROM procs WHERE parent_process_guid IS NULL) k "
+        "JOIN procs q ON (k.host, k.parent_process_pid) = (q.host, q.process_pid))",
     ),
 )
 _add(
@@ -99,16 +104,16 @@ _add(
         correlate.network_to_process(sec_events(s, d), DAY), "network_timestamp", "process_timestamp"
     ),
     oracle(
-        "SELECT n.event_id AS network_event_id, p.event_id AS process_event_id, n.host, n.src_ip, n.src_port, "
-        "n.dst_ip, n.dst_port, " + sql_ts("n.timestamp", "network_timestamp") + ", "
-        + sql_ts("p.timestamp", "process_timestamp") + ", p.process_name, p.process_pid "
-        "FROM sec_events n JOIN sec_events p ON n.host = p.host AND n.table_name = 'network' "
-        "AND p.table_name = 'processes' AND ((n.process_pid IS NOT NULL AND n.process_pid = p.process_pid) OR "
-        "(n.process_name IS NOT NULL AND n.process_name = p.process_name)) "
-        "AND coalesce(n.src_ip, '') = coalesce(p.src_ip, n.src_ip, '') "
-        "AND coalesce(n.dst_ip, '') = coalesce(p.dst_ip, n.dst_ip, '') "
-        "AND coalesce(n.dst_port, -1) = coalesce(p.dst_port, n.dst_port, -1) "
-        "AND " + _band("n.timestamp", "p.timestamp", DAY)
+        # same host, and the same pid or the same name; what the process says of the connection must not contradict it
+        "SELECT flow.event_id AS network_event_id, owner.event_id AS process_event_id, flow.host, flow.src_ip, flow.src_port, flow.dst_ip, "
+        "flow.dst_port, " + sql_ts("flow.timestamp", "network_timestamp") + ", " + sql_ts("owner.timestamp", "process_timestamp")
+        + ", owner.process_name, owner.process_pid FROM flows flow JOIN candidates USING (flow_id) JOIN procs owner ON owner.event_id = owner_id "
+        "WHERE (owner.src_ip IS NULL OR owner.src_ip IS NOT DISTINCT FROM flow.src_ip) AND (owner.dst_ip IS NULL OR owner.dst_ip IS NOT DISTINCT FROM flow.dst_ip) "
+        f"AND (owner.dst_port IS NULL OR owner.dst_port IS NOT DISTINCT FROM flow.dst_port) AND flow.us - owner.us BETWEEN -{DAY * 1000000} AND {DAY * 1000000}",
+        _PROCESSES,
+        "flows AS MATERIALIZED (SELECT *, event_id AS flow_id, epoch_us(timestamp) AS us FROM sec_events WHERE table_name = 'network')",
+        "candidates AS (SELECT f.flow_id, q.event_id AS owner_id FROM flows f JOIN procs q ON (f.host, f.process_pid) = (q.host, q.process_pid) "
+        "UNION SELECT f.flow_id, q.event_id FROM flows f JOIN procs q ON (f.host, f.process_name) = (q.host, q.process_name))",
     ),
 )
 _add(
@@ -117,28 +122,76 @@ _add(
         correlate.identity_correlation(sec_events(s, d), DAY), "auth_timestamp", "network_timestamp"
     ),
     oracle(
-        "SELECT a.event_id AS auth_event_id, n.event_id AS network_event_id, a.host, a.\"user\", a.src_ip, "
-        "n.src_ip AS network_src_ip, n.dst_ip, " + sql_ts("a.timestamp", "auth_timestamp") + ", "
-        + sql_ts("n.timestamp", "network_timestamp") + ", a.session_id "
-        "FROM sec_events a JOIN sec_events n ON a.host = n.host AND a.table_name = 'auth' "
-        "AND n.table_name = 'network' AND a.src_ip IS NOT NULL AND (a.src_ip = n.src_ip OR a.src_ip = n.dst_ip) "
-        "AND " + _band("a.timestamp", "n.timestamp", DAY)
+        # the address of a login is an end of the connection
+        "SELECT login.event_id AS auth_event_id, e.flow_id AS network_event_id, login.host, login.\"user\", login.src_ip, e.network_src_ip, e.dst_ip, "
+        + sql_ts("login.timestamp", "auth_timestamp") + ", " + sql_ts("e.at", "network_timestamp") + ", login.session_id "
+        "FROM sec_events login JOIN ends e ON login.host = e.host AND login.src_ip = e.address WHERE login.table_name = 'auth' "
+        f"AND epoch_us(login.timestamp) - epoch_us(e.at) BETWEEN -{DAY * 1000000} AND {DAY * 1000000}",
+        "ends AS (SELECT event_id AS flow_id, host, timestamp AS at, src_ip AS network_src_ip, dst_ip, src_ip AS address FROM sec_events WHERE table_name = 'network' "
+        "UNION SELECT event_id, host, timestamp, src_ip, dst_ip, dst_ip FROM sec_events WHERE table_name = 'network')",
     ),
 )
+# Pairs in the oracle, without an inequality join: each event is listed in its bucket and the next one, and lists are
+# paired with themselves; a pair counts in the later bucket of its two events.
+_PAIRS_CTES = [
+    "bucketed AS MATERIALIZED (SELECT *, epoch_us(timestamp) AS us, epoch_us(timestamp) // 300000000 AS bucket FROM correlation_index)",
+    "listed AS MATERIALIZED (SELECT correlation_key, correlation_value, near, "
+    "list({'id': event_id, 't': table_name, 'us': us, 'bucket': bucket}) AS l FROM (SELECT *, unnest([bucket, bucket + 1]) AS near FROM bucketed) "
+    "GROUP BY 1, 2, 3 HAVING count(*) > 1)",
+    "pairs AS (SELECT correlation_key, correlation_value, a, b FROM (SELECT correlation_key, correlation_value, near, a, unnest(l) AS b FROM ("
+    "SELECT correlation_key, correlation_value, near, l, unnest(l) AS a FROM listed)) "
+    "WHERE a.id < b.id AND greatest(a.bucket, b.bucket) = near AND abs(a.us - b.us) <= 300000000)",
+]
 _add(
     "entity_correlation",
     lambda s, d: correlate.entity_correlation(sec_events(s, d), 300).withColumn(
         "delta_seconds", F.round("delta_seconds", 6)
     ),
     oracle(
-        "SELECT a.event_id AS event_a_id, b.event_id AS event_b_id, a.table_name AS table_a, "
-        "b.table_name AS table_b, a.correlation_key, a.correlation_value, "
-        "round(abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) / 1000000.0, 6) AS delta_seconds "
-        "FROM bucketed a JOIN (SELECT *, unnest([bucket - 1, bucket, bucket + 1]) AS near FROM bucketed) b "
-        "ON a.correlation_key = b.correlation_key AND a.correlation_value = b.correlation_value AND a.bucket = b.near "
-        "AND a.event_id < b.event_id AND " + _band("a.timestamp", "b.timestamp", 300),
+        "SELECT a.id AS event_a_id, b.id AS event_b_id, a.t AS table_a, b.t AS table_b, correlation_key, correlation_value, "
+        "round(abs(a.us - b.us) / 1000000.0, 6) AS delta_seconds FROM pairs",
+        _KEYS_CTE, *_PAIRS_CTES,
+    ),
+)
+_add(
+    "entity_pair_counts",
+    lambda s, d: correlate.entity_pair_counts(sec_events(s, d), 300),
+    oracle(
+        "SELECT i.correlation_key, i.correlation_value, i.n AS n_events, coalesce(p.n, 0) AS n_pairs FROM ("
+        "SELECT correlation_key, correlation_value, count(*) AS n FROM correlation_index GROUP BY 1, 2) i LEFT JOIN ("
+        "SELECT correlation_key, correlation_value, count(*) AS n FROM pairs GROUP BY 1, 2) p "
+        "ON i.correlation_key = p.correlation_key AND i.correlation_value = p.correlation_value",
+        _KEYS_CTE, *_PAIRS_CTES,
+    ),
+)
+_add(
+    "entity_links",
+    lambda s, d: correlate.entity_links(sec_events(s, d), DAY).withColumn("delta_seconds", F.round("delta_seconds", 6)),
+    oracle(
+        "SELECT event_id, next_event_id, table_name, next_table, correlation_key, correlation_value, round((next_us - us) / 1000000.0, 6) AS delta_seconds "
+        "FROM (SELECT *, epoch_us(timestamp) AS us, lead(event_id) OVER w AS next_event_id, lead(table_name) OVER w AS next_table, "
+        "lead(epoch_us(timestamp)) OVER w AS next_us FROM correlation_index WINDOW w AS (PARTITION BY correlation_key, correlation_value "
+        f"ORDER BY timestamp, event_id)) WHERE next_us - us <= {DAY * 1000000}",
+        _KEYS_CTE,
+    ),
+)
+
+
+def _pairs_of_values(s, d):
+    """The pairs of two hosts and a user, as a case asks for them."""
+    values = s.createDataFrame([("host", "DC01"), ("host", "H3"), ("user", "u8")], "correlation_key string, correlation_value string")
+    return correlate.entity_correlation(sec_events(s, d), DAY, values=values).select("event_a_id", "event_b_id", "correlation_key", "correlation_value")
+
+
+_add(
+    "entity_correlation_of_values", _pairs_of_values,
+    oracle(
+        "SELECT a.event_id AS event_a_id, b.event_id AS event_b_id, a.correlation_key, a.correlation_value FROM chosen a JOIN chosen b "
+        "ON a.correlation_key = b.correlation_key AND a.correlation_value = b.correlation_value AND a.event_id < b.event_id "
+        f"AND abs(a.us - b.us) <= {DAY * 1000000}",
         _KEYS_CTE,
-        "bucketed AS MATERIALIZED (SELECT *, epoch_us(timestamp) // 300000000 AS bucket FROM correlation_index)",
+        "chosen AS MATERIALIZED (SELECT *, epoch_us(timestamp) AS us FROM correlation_index WHERE (correlation_key = 'host' AND "
+        "correlation_value IN ('DC01', 'H3')) OR (correlation_key = 'user' AND correlation_value = 'u8'))",
     ),
 )
 
