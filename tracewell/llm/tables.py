@@ -12,6 +12,8 @@ from tracewell.session import ensure_checkpoint_dir
 
 #: Columns of the documents table, in order.
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Spark's setting by which a finished execution removes its shuffle files; on while an intermediate table is written.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What separates words, everywhere: space and the control characters tab to carriage return.
 BLANK = r"[ \t-\r]"
 BLANKS = " \t\n\x0b\f\r"
@@ -30,9 +32,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read again: later work doesn't hang on executors that may be lost."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(folder)
-    # nothing refers to the shuffle files of this step any more: a collection on the driver lets Spark's cleaner remove them
-    spark._jvm.System.gc()
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(folder)
     out.stored_in = folder
     return out
