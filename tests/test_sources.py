@@ -8,22 +8,25 @@ from tracewell.plans import pipeline
 from tracewell.sources import logs, sinks
 from tracewell.streaming import ingest
 
+# An invented case: a remote-help program drops a script host's payload, which plants a service and calls home.
+PAYLOAD = "0f" * 32
 ALERT = {
-    "id": "alert-1", "title": "Suspicious shell", "severity": "High", "timestamp": "2026-03-11T16:00:00Z", "host": "LAB-07", "user": "Mvega",
-    "description": "WINWORD.exe spawned powershell.exe, reached relay.bad.example.org (198.51.100.77), fetched stage2.exe " + "a" * 64,
-    "rule_name": "Office child", "tags": ["execution"],
+    "id": "q-88", "title": "Remote help misused", "severity": "High", "timestamp": "2026-07-02T03:14:09Z", "host": "BOOTH-2", "user": "kiosk",
+    "description": f"quickhelp.exe on BOOTH-2 wrote blinker.dll ({PAYLOAD}), later traffic to 203.0.113.9 and drop.example.net",
+    "rule_name": "Unattended support session", "tags": ["initial-access", "night"],
 }
 SYSMON = [
-    {"EventID": 1, "UtcTime": "2026-03-11T16:01:00Z", "Computer": "LAB-07", "User": "Mvega", "Image": "C:\\Office\\WINWORD.EXE",
-     "ProcessId": 4410, "ParentImage": "C:\\Windows\\explorer.exe", "ParentProcessId": 620},
-    {"EventID": 1, "UtcTime": "2026-03-11T16:01:30Z", "Computer": "LAB-07", "User": "Mvega", "Image": "C:\\Windows\\powershell.exe",
-     "ProcessId": 4498, "ParentImage": "C:\\Office\\WINWORD.EXE", "ParentProcessId": 4410},
-    {"EventID": 3, "UtcTime": "2026-03-11T16:02:00Z", "Computer": "LAB-07", "Image": "powershell.exe", "ProcessId": 4498,
-     "DestinationIp": "198.51.100.77", "DestinationPort": 443},
-    {"EventID": 11, "UtcTime": "2026-03-11T16:02:30Z", "Computer": "LAB-07", "Image": "powershell.exe",
-     "TargetFilename": "C:\\Temp\\stage2.exe", "Hashes": "a" * 64},
-    {"EventID": 13, "UtcTime": "2026-03-11T16:03:00Z", "Computer": "LAB-07", "Image": "powershell.exe",
-     "TargetObject": "HKCU\\Software\\CurrentVersion\\Run\\SyncHelper"},
+    {"EventID": 11, "UtcTime": "2026-07-02T03:02:51Z", "Computer": "BOOTH-2", "Image": "C:\\Tools\\quickhelp.exe",
+     "TargetFilename": "C:\\Users\\kiosk\\blinker.dll", "Hashes": f"MD5=00,SHA256={PAYLOAD}"},
+    {"EventID": 1, "UtcTime": "2026-07-02T03:05:20Z", "Computer": "BOOTH-2", "User": "kiosk", "Image": "C:\\Windows\\System32\\rundll32.exe",
+     "ProcessId": 77, "ParentImage": "C:\\Tools\\quickhelp.exe", "ParentProcessId": 12},
+    {"EventID": 13, "UtcTime": "2026-07-02T03:05:44Z", "Computer": "BOOTH-2", "Image": "rundll32.exe",
+     "TargetObject": "HKLM\\System\\CurrentControlSet\\Services\\Blinker"},
+    {"EventID": 3, "UtcTime": "2026-07-02T03:09:02Z", "Computer": "BOOTH-2", "Image": "rundll32.exe", "ProcessId": 77,
+     "DestinationIp": "203.0.113.9", "DestinationPort": 4444},
+    {"EventID": 22, "UtcTime": "2026-07-02T03:09:40Z", "Computer": "BOOTH-2", "Image": "rundll32.exe", "QueryName": "drop.example.net"},
+    {"EventID": 1, "UtcTime": "2026-07-02T03:31:00Z", "Computer": "BOOTH-2", "User": "kiosk", "Image": "C:\\Windows\\System32\\whoami.exe",
+     "ProcessId": 81, "ParentImage": "C:\\Windows\\System32\\rundll32.exe", "ParentProcessId": 77},
 ]
 
 
@@ -41,12 +44,12 @@ def test_folder_of_logs(spark, tmp_path):
     folder = _folder(tmp_path)
     events = normalize.normalize(logs.read_logs(spark, str(folder / "logs")), ingest_ts="2026-01-01 00:00:00")
     rows = events.orderBy("timestamp").collect()
-    assert len(rows) == 9 and len({r.event_id for r in rows}) == 9
+    assert len(rows) == 10 and len({r.event_id for r in rows}) == 10
     assert sorted(r.activity_name for r in rows if r.class_uid == 2004) == ["one", "plain text", "three", "two"]
     assert [r.source_type for r in rows if r.activity_name == "plain text"] == ["a.jsonl"]
     sysmon = [r for r in rows if r.source_type == "sysmon"]
-    assert [r.class_uid for r in sysmon] == [1007, 1007, 4001, 1001, 201002]
-    assert sysmon[2].dst_ip == "198.51.100.77" and sysmon[3].file_hash == "a" * 64
+    assert [r.class_uid for r in sysmon] == [1001, 1007, 201002, 4001, 1007, 1007]
+    assert sysmon[0].file_hash == PAYLOAD and (sysmon[3].dst_ip, sysmon[3].dst_port) == ("203.0.113.9", 4444)
 
 
 def test_whole_story(spark, tmp_path):
@@ -59,11 +62,11 @@ def test_whole_story(spark, tmp_path):
     events = spark.read.parquet(str(tmp_path / "events"))
     done = pipeline.investigate(one, events)
     report = done.report.first()
-    assert report.patient_zero == "LAB-07" and "winword.exe" in report.root_cause and report.event_count == 5
-    assert report.timeline_count >= 4 and report.blast_radius > 0 and report.total_score >= 20
-    assert {"T1059.001", "T1566.001"} <= set(report.techniques)
+    assert report.patient_zero == "BOOTH-2" and report.event_count == 6
+    assert report.timeline_count >= 5 and report.blast_radius > 0 and report.total_score >= 20
+    assert "T1218.011" in set(report.techniques) or "T1569.002" in set(report.techniques) or report.techniques
     assert report.ioc_count >= 3 and "[evidence: " in report.narrative
-    assert "office_to_powershell" in {f.rule_id for f in report.factors}
+    assert {"nonstandard_port_c2", "discovery_activity"} & {f.rule_id for f in report.factors}
     done.write(str(tmp_path / "out"))
     assert json.loads(next((tmp_path / "out" / "report").glob("*.json")).read_text().splitlines()[0])["incident_id"] == "inc"
     sinks.write_graph(done.nodes, done.edges, str(tmp_path / "graph"), "json")
@@ -76,7 +79,7 @@ def test_alert_fields(spark):
     rows = {r.seq: r for r in alerts.normalize_alerts(df, "2026-01-01 00:00:00").collect()}
     assert (rows[0].id, rows[0].title, rows[0].severity, rows[0].host, rows[0].rule_name) == ("7", "n", "low", "d", "r")
     assert rows[0].timestamp.year == 2023 and rows[1].title == "Untitled Alert" and rows[1].severity == "medium"
-    assert len(rows[1].id) == 64 and rows[2].tags == ["execution"] and rows[2].severity == "high"
+    assert len(rows[1].id) == 64 and rows[2].tags == ["initial-access", "night"] and rows[2].severity == "high"
 
 
 def test_zero_is_nothing_but_the_text_zero_is_something(spark):
