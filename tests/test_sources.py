@@ -64,7 +64,7 @@ def test_whole_story(spark, tmp_path):
     report = done.report.first()
     assert report.patient_zero == "BOOTH-2" and report.event_count == 6
     assert report.timeline_count >= 5 and report.blast_radius > 0 and report.total_score >= 20
-    assert "T1218.011" in set(report.techniques) or "T1569.002" in set(report.techniques) or report.techniques
+    assert report.techniques
     assert report.ioc_count >= 3 and "[evidence: " in report.narrative
     assert {"nonstandard_port_c2", "discovery_activity"} & {f.rule_id for f in report.factors}
     done.write(str(tmp_path / "out"))
