@@ -178,6 +178,42 @@ def test_chat_snapshots_collapse(spark):
     assert [p.n_turns for p in parts] == [1024, 1024, 452] and parts[1].rendered.startswith("<|im_start|>user\n1024<")
 
 
+def test_chat_of_equal_turns_is_cut_into_bounded_parts(spark):
+    n = 2 * chat.BLOCK + 500
+    hot = spark.range(n).selectExpr("CAST(NULL AS BIGINT) AS conv_id", "1 AS turn", "'user' AS role", "lpad(id % 1500, 5, '0') AS text")
+    same = spark.range(n).selectExpr("7L AS conv_id", "CAST(NULL AS INT) AS turn", "'user' AS role", "'again' AS text")
+    rows = chat.collapsed(hot.unionByName(same)).orderBy("part").collect()
+    for conv, texts in ((None, sorted(f"{i % 1500:05d}" for i in range(n))), (7, ["again"] * n)):
+        parts = [r for r in rows if r.conv_id == conv]
+        assert [(r.part, r.n_turns) for r in parts] == [(0, chat.BLOCK), (1, chat.BLOCK), (2, 500)]
+        assert "".join(r.rendered for r in parts) == "".join(f"{chat.START}user\n{t}{chat.END}\n" for t in texts)
+
+
+def test_chat_of_no_turn(spark):
+    none = spark.createDataFrame([], "conv_id long, turn int, role string, text string, block int")
+    assert chat.collapsed(none).collect() == []
+
+
+def test_quality_with_clashing_names(spark):
+    text = "the cat sat on the mat and looked at the dog in the yard of a house by the sea"
+    rows = spark.createDataFrame(
+        [(1, text, "mine", -5, True, "r"), (2, None, "x", -6, True, "s"), (1, text, "mine", -5, True, "r")],
+        "doc_id long, text string, _w string, n_words int, kept boolean, _row string")
+    assert [tuple(r) for r in quality.kept_documents(rows).collect()] == [(1, text, "mine", -5, True, "r")] * 2
+    out = {(r.doc_id, r.n_words, r.kept, r._w, r._row) for r in quality.judged(rows).collect()}
+    assert out == {(1, 20, True, "mine", "r"), (2, 0, False, "x", "s")}
+    assert quality.judged(rows.limit(0)).collect() == []
+
+
+def test_stop_words_judge_their_own_letters_only(spark):
+    letters = "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437"
+    other = " ".join(letters[i % 8] + letters[i // 8 % 8] + letters[i // 64 % 8] + letters[i // 3 % 8] for i in range(300))
+    latin = " ".join("xyzq"[i % 4] + "bcdf"[i // 4 % 4] + "ghjk"[i // 16 % 4] + "mnpr"[i // 64 % 4] + str(i) for i in range(300))
+    rows = spark.createDataFrame([(1, other), (2, latin)], "doc_id long, text string")
+    failed = {r.doc_id: r.failed_rules for r in quality.judged(rows).collect()}
+    assert "stop_words" not in failed[1].split(",") and "stop_words" in failed[2].split(",")
+
+
 def test_rollup_commits_once(spark):
     store = rollup.TokenRollup(spark, shared_folder(spark, "rollup-test"))
     make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint, op string, seq int")

@@ -6,7 +6,9 @@ shuffle.  Texts in which no window of five words comes twice -- nearly all -- en
 the others sort their windows.
 
 Null, empty and blank texts have no word: every count is 0 and ``base_failed`` is true.  The operator keeps repeated
-rows and all columns of its input; names of the same kind as its own are replaced by its own.
+rows and all columns of its input, whatever their names; ``judged`` gives its own columns in place of those of the same
+names, ``kept_documents`` the rows as they came.  The stop-word rule is for texts written mainly in the letters of its
+lists: Greek, Russian or Arabic ones aren't judged by it.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ class Rule:
     low: float | None = None
     high: float | None = None
     from_words: int = 0
+    #: applies only to texts at least half of whose characters in words are of this class
+    letters: str | None = None
 
 
 #: The thresholds in production.
@@ -45,7 +49,7 @@ RULES = (
     Rule("word_length", "mean_word_length", 2.0, 12.0, 20),
     Rule("symbols", "symbol_ratio", None, 0.1, 10),
     Rule("letters", "letter_ratio", 0.7, None, 20),
-    Rule("stop_words", "stop_word_ratio", 0.005, None, 200),
+    Rule("stop_words", "stop_word_ratio", 0.005, None, 200, "A-Za-z"),
     Rule("repeated_lines", "dup_line_ratio", None, 0.4, 20),
     Rule("capitals", "capital_ratio", None, 0.4, 20),
     Rule("length", "n_words", 10, None, 0),
@@ -74,13 +78,13 @@ def _covered(starts: str) -> str:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """``documents`` with the counts and ratios of each text.
+    """``_row`` (the row of ``documents``), ``_text`` and the counts and ratios of each text.
 
     Every step that is used more than once is a column of its own, so that nothing is computed twice.
     """
-    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
     stops = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
-    steps = documents.withColumns({"_text": text, "_w": words(F.col("text"))})
+    steps = rows.withColumn("_w", words(F.col("_text")))
     steps = steps.withColumn("n_words", F.size("_w").cast("bigint"))
     steps = steps.withColumns({
         "_g": F.expr(_window_hashes()),
@@ -108,14 +112,18 @@ def measured(documents: DataFrame) -> DataFrame:
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(lines, F.lit(1)),
         "capital_ratio": F.col("_capitals") / F.greatest("word_chars", F.lit(1)),
         "repeat_ratio": F.col("n_repeat_words") / n,
-    }).drop("_text", "_w", "_g", "_lines", "_stops", "_letters", "_capitals", "_o", "_p")
+    }).drop("_w", "_g", "_lines", "_stops", "_letters", "_capitals", "_o", "_p")
 
 
 def passes(rule: Rule) -> Column:
     """Whether a measured row obeys the rule."""
     bounds = [F.col(rule.ratio) >= rule.low] if rule.low is not None else []
     bounds += [F.col(rule.ratio) <= rule.high] if rule.high is not None else []
-    return (F.col("n_words") < rule.from_words) | all_of(bounds)
+    met = (F.col("n_words") < rule.from_words) | all_of(bounds)
+    if rule.letters is None:
+        return met
+    # last, so that only texts that would fail are searched for other letters
+    return met | (2 * F.length(F.regexp_replace("_text", f"[^{rule.letters}]+", "")) < F.col("word_chars"))
 
 
 def base_failed() -> Column:
@@ -123,20 +131,26 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judged(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``documents`` with counts, ratios, the names of the rules that failed, ``base_failed`` and ``kept``."""
+def _judged(documents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     failed = F.filter(F.array(*(F.when(~passes(r), F.lit(r.name)) for r in rules)), lambda name: name.isNotNull())
     return measured(documents).withColumns({
         "failed_rules": F.array_join(failed, ",") if rules else F.lit(""), "base_failed": base_failed(),
     }).withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
 
+def judged(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``documents`` with counts, ratios, the names of the rules that failed, ``base_failed`` and ``kept``."""
+    out = _judged(documents, rules)
+    own = [c for c in out.columns if c not in ("_row", "_text")]
+    return out.select(*(F.col("_row")[c].alias(c) for c in documents.columns if c.lower() not in own), *own)
+
+
 def kept_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``documents`` that pass, with the columns they came with."""
-    columns = [F.col(f"`{c}`") for c in documents.columns]
+    """The rows of ``documents`` that pass, with the columns and values they came with."""
     # as the output of a generator the verdict is computed once: a filter on the column itself would be moved below the
     # projections, and every step of the verdict written out in it again and again
-    return judged(documents, rules).select(*columns, F.explode(F.array("kept")).alias("_kept")).filter("_kept").drop("_kept")
+    verdicts = _judged(documents, rules).select("_row", F.explode(F.array("kept")).alias("kept"))
+    return verdicts.filter("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +165,8 @@ def _sql_list(items: list[str]) -> str:
 
 def _sql_passes(rule: Rule) -> str:
     bounds = [f"{rule.ratio} >= {rule.low}"] * (rule.low is not None) + [f"{rule.ratio} <= {rule.high}"] * (rule.high is not None)
-    return f"(n_words < {rule.from_words} OR ({' AND '.join(bounds)}))"
+    others = f" OR 2 * length(regexp_replace(text, '[^{rule.letters}]+', '', 'g')) < word_chars" if rule.letters else ""
+    return f"(n_words < {rule.from_words} OR ({' AND '.join(bounds)}){others})"
 
 
 _STOPS = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
@@ -168,7 +183,7 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS g
         FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM wl WHERE len(w) >= {WINDOW})),
 twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range({WINDOW}) AS r(k) GROUP BY doc_id),
-m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+m AS (SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
         greatest(len(lines), 1) AS n_lines, len(list_filter(w, lambda x: x IN ({_sql_list(_STOPS)}))) AS stops,
