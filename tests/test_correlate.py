@@ -5,7 +5,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import correlate, graph
+from tracewell.operators import correlate, graph, risk
 from tracewell.operators.components import connected_components
 from tracewell.schema import complete_events
 
@@ -164,3 +164,35 @@ def test_plans_have_no_nested_loops(spark, sf_dir):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     count = lambda df: df.agg(F.count(F.lit(1))).first()[0]
     assert count(events) > 0
+
+
+def test_shortest_path_against_all_paths(spark):
+    rng = random.Random(5)
+    for n, m in ((8, 14), (12, 16), (10, 40)):
+        arcs = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)}
+        edges = spark.createDataFrame(sorted(arcs), "source string, target string")
+        front, expected = [["n0"]], None
+        while front and expected is None:
+            expected = min((p for p in front if p[-1] == "n1"), default=None)
+            front = [[*p, b] for p in front for a, b in sorted(arcs) if a == p[-1] and b not in p]
+        found = graph.shortest_path(edges, "n0", "n1").collect()
+        assert [r.path for r in found] == ([expected] if expected else [])
+
+
+def test_event_density_counts_ties_and_both_ends_of_the_window(spark):
+    rng = random.Random(6)
+    base = 1_700_000_000_000_000
+    times = [base + rng.choice([0, 999_999, 1_000_000, 299_999_999, 300_000_000, 300_000_001]) + 1_000_000 * rng.randrange(0, 700, 7)
+             for _ in range(120)]
+    rows = [("a" if i % 3 else "b", f"e{i}", i, t) for i, t in enumerate(times)]
+    events = spark.createDataFrame(rows, "incident_id string, event_id string, seq int, us long").withColumn(
+        "timestamp", F.timestamp_micros("us"))
+    for seconds, threshold in ((300, 20), (1.5, 3), (0.25, 2)):
+        found = {r.incident_id: tuple(r)[1:] for r in risk.temporal_clusters(events, seconds, threshold).collect()}
+        expected = {}
+        for incident in "ab":
+            own = sorted((t, i) for inc, _, i, t in rows if inc == incident)
+            dense = [(t, i, n) for t, i in own if (n := sum(t <= u <= t + seconds * 1e6 for u, _ in own)) >= threshold]
+            if dense:
+                expected[incident] = (*dense[0], len(dense))
+        assert found == expected and found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,32 +120,48 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, group: list[str] | None = N
     return labelled.join(sizes, [*group, "component"]).select(*group, "id", "blast_radius")
 
 
+def _level(level: DataFrame, arcs: DataFrame, start: str, end: str, seen: list[DataFrame]) -> DataFrame:
+    """The nodes one arc beyond ``level`` that no level of ``seen`` holds."""
+    found = level.join(arcs, level["node"] == arcs[start]).select(F.col(end).alias("node")).distinct()
+    return durable(found.join(reduce(DataFrame.unionAll, seen), "node", "left_anti"))
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, nodes: DataFrame | None = None) -> DataFrame:
     """The shortest directed path as one row (path, length), or no row if there is none.
 
-    Breadth-first by levels.  A node reached over several equally short paths
-    keeps the smallest one, so the answer does not depend on partitioning.
+    Both ends are searched at once, the smaller front first.  A level holds node ids only and is appended, never written
+    again; where the fronts meet, the levels are cut to the nodes on shortest paths and the path is walked through them,
+    one id at a time.  Of equally short paths the smallest is given, so the answer does not depend on partitioning.
     """
-    arcs = edges.select(F.col("source").alias("at"), F.col("target").alias("next")).filter("at <> next").distinct()
-    arcs = durable(arcs)
+    spark = edges.sparkSession
+    arcs = durable(edges.select(F.col("source").alias("at"), F.col("target").alias("next")).filter("at <> next").distinct())
     known = edges.select(F.col("source").alias("node")).union(edges.select("target"))
     if nodes is not None:
         known = known.union(nodes.select("id"))
-    seen = known.filter(F.col("node") == source).limit(1).select("node", F.array("node").alias("path"))
-    frontier = seen = durable(seen)
-    while True:
-        hit = seen.filter(F.col("node") == target)
-        if hit.limit(1).count():
-            return hit.select("path", (F.size("path") - 1).alias("length"))
-        frontier = durable(
-            frontier.join(arcs, F.col("node") == F.col("at"))
-            .select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-            .groupBy("node").agg(F.min("path").alias("path"))
-            .join(seen.select("node"), "node", "left_anti")
-        )
-        if not frontier.limit(1).count():
-            return hit.select("path", (F.size("path") - 1).alias("length"))
-        seen = durable(seen.unionByName(frontier))
+    schema = "path array<string>, length int"
+    if known.filter(F.col("node").isin(source, target)).distinct().count() < len({source, target}):
+        return spark.createDataFrame([], schema)
+    ahead, behind = ([spark.createDataFrame([(end,)], "node string")] for end in (source, target))
+    sizes = {"ahead": 1, "behind": 1}
+    while not (meet := durable(ahead[-1].join(behind[-1], "node"))).limit(1).count():
+        if sizes["ahead"] <= sizes["behind"]:
+            ahead.append(_level(ahead[-1], arcs, "at", "next", ahead))
+            sizes["ahead"] = smallest = ahead[-1].count()
+        else:
+            behind.append(_level(behind[-1], arcs, "next", "at", behind))
+            sizes["behind"] = smallest = behind[-1].count()
+        if not smallest:
+            return spark.createDataFrame([], schema)
+    length = len(ahead) + len(behind) - 2
+    steps = [*ahead[:-1], meet, *reversed(behind[:-1])]
+    for k in range(len(ahead) - 2, 0, -1):
+        leading = arcs.join(steps[k + 1], F.col("next") == F.col("node"), "left_semi").select(F.col("at").alias("node"))
+        steps[k] = durable(steps[k].join(leading, "node", "left_semi"))
+    path = [source]
+    for step in steps[1:]:
+        onward = arcs.filter(F.col("at") == path[-1]).join(step, F.col("next") == F.col("node"), "left_semi")
+        path.append(onward.agg(F.min("next")).first()[0])
+    return spark.createDataFrame([(path, length)], schema)
 
 
 def detect_lateral_movement(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -143,21 +143,30 @@ def _event_factors(hits: DataFrame) -> DataFrame:
 def temporal_clusters(events: DataFrame, window_seconds: float = 300, threshold: int = 10) -> DataFrame:
     """Per incident with a dense stretch: its earliest start and how many events follow within the window.
 
-    An incident is cut into time buckets one window wide.  Each event also
-    stands in the bucket before its own, so that every frame is complete inside
-    one bucket and a large incident spreads over its buckets.
+    Events of one microsecond are one point with a count.  A point's window is the rest of its own bucket, one window
+    wide, and the part of the next bucket up to its end, which stands there as a probe without weight.  Running sums are
+    taken over the seconds of a bucket and over the points of a second: no window grows with an incident.
     """
-    width, w = F.lit(int(window_seconds * _MICROS)), int(window_seconds * _MICROS)
-    cut = events.select("incident_id", "event_id", "seq", F.unix_micros("timestamp").alias("us"))
-    cut = cut.withColumn("own", F.floor(F.col("us") / width)).withColumn(
-        "bucket", F.explode(F.array(F.col("own"), F.col("own") - 1))
-    )
-    frame = Window.partitionBy("incident_id", "bucket").orderBy("us").rangeBetween(0, w)
-    dense = cut.withColumn("n", F.count(F.lit(1)).over(frame)).filter(
-        (F.col("own") == F.col("bucket")) & (F.col("n") >= threshold)
-    )
+    w = int(window_seconds * _MICROS)
+    points = events.groupBy("incident_id", F.unix_micros("timestamp").alias("us")).agg(
+        F.count(F.lit(1)).alias("events"), F.min("seq").alias("seq"))
+    shift = F.explode(F.array(F.lit(0), F.lit(1))).alias("shift")
+    rows = points.select("*", F.floor(F.col("us") / F.lit(w)).alias("own"), shift).select(
+        "*", (F.col("own") + F.col("shift")).alias("bucket"), F.floor((F.col("us") - F.col("own") * w) / F.lit(_MICROS)).alias("second"),
+        (F.col("us") + F.col("shift") * w).alias("at"), F.when(F.col("shift") == 0, F.col("events")).otherwise(0).alias("weight"))
+    key = ["incident_id", "bucket", "second"]
+    whole = Window.partitionBy("incident_id", "bucket")
+    seconds = rows.groupBy(*key).agg(F.sum("weight").alias("in_second")).select(
+        *key, F.sum("in_second").over(whole).alias("in_bucket"),
+        (F.sum("in_second").over(whole.orderBy("second")) - F.col("in_second")).alias("before"))
+    upto = F.col("before") + F.sum("weight").over(
+        Window.partitionBy(*key).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # of its own bucket a point has what is not before it, of the next one what is not after its end
+    parts = rows.join(seconds, key).withColumn("upto", upto)
+    part = F.when(F.col("shift") == 0, F.col("in_bucket") - F.col("upto") + F.col("weight")).otherwise(F.col("upto"))
+    dense = parts.groupBy("incident_id", "us", "seq", "events").agg(F.sum(part).alias("n")).filter(F.col("n") >= threshold)
     return dense.groupBy("incident_id").agg(
-        F.min(F.struct("us", "seq", "n")).alias("f"), F.count(F.lit(1)).alias("dense_starts")
+        F.min(F.struct("us", "seq", "n")).alias("f"), F.sum("events").alias("dense_starts")
     ).select(
         "incident_id", F.col("f.us").alias("start_us"), F.col("f.seq").alias("start_seq"),
         F.col("f.n").alias("n"), "dense_starts",

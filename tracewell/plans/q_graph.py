@@ -131,6 +131,37 @@ _add(
     ),
 )
 
+# The same over edges of every type.  Shortest: distances from the start by levels that add new nodes only, then the walks
+# that come one step nearer each time.  Components: the smallest name that reaches a node, improved until nothing changes.
+_ALL_CTES = [
+    *_CTES,
+    "arcs AS (SELECT source AS a, target AS b FROM edges WHERE source <> target)",
+    f"far (node, depth) USING KEY (node) AS (SELECT '{_END}', 0 UNION SELECT a.a, min(f.depth) + 1 FROM far f JOIN arcs a ON f.node = a.b "
+    "LEFT JOIN recurring.far o ON o.node = a.a WHERE o.node IS NULL GROUP BY 1)",
+]
+_add(
+    "shortest_path_all_edges",
+    lambda s, d: graph.shortest_path(_graph(s, d)[1], _START, _END).select(F.array_join("path", " > ").alias("path"), "length"),
+    oracle(
+        "SELECT path, length FROM (SELECT array_to_string(path, ' > ') AS path, len(path) - 1 AS length, row_number() OVER (ORDER BY path) AS rn "
+        f"FROM walk WHERE node = '{_END}') WHERE rn = 1",
+        *_ALL_CTES,
+        f"walk AS (SELECT '{_START}' AS node, ['{_START}'] AS path UNION ALL SELECT a.b, list_append(w.path, a.b) FROM walk w "
+        "JOIN arcs a ON w.node = a.a JOIN far f ON f.node = w.node JOIN far g ON g.node = a.b WHERE g.depth = f.depth - 1)",
+        recursive=True,
+    ),
+)
+_WHOLE_CTES = [
+    *_CTES,
+    "ways AS (SELECT source AS u, target AS v FROM edges UNION SELECT target, source FROM edges)",
+    "named (id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT w.v, min(n.component) FROM named n JOIN ways w ON w.u = n.id "
+    "JOIN recurring.named o ON o.id = w.v WHERE n.component < o.component GROUP BY 1)",
+]
+_add("connected_components_all_edges", lambda s, d: graph.components(*_graph(s, d)),
+     oracle("SELECT id, component FROM named", *_WHOLE_CTES, recursive=True))
+_add("blast_radius_all_edges", lambda s, d: graph.blast_radius(*_graph(s, d)),
+     oracle("SELECT id, count(*) OVER (PARTITION BY component) - 1 AS blast_radius FROM named", *_WHOLE_CTES, recursive=True))
+
 
 def lateral_movement(s, d):
     """Edges between the hosts that share a user, as connected devices."""
