@@ -39,3 +39,16 @@ def ends_with_any(col: Column, words: list[str]) -> Column:
 def python_regex(pattern: str, ignore_case: bool = False) -> str:
     """Java form of a pattern whose classes and boundaries are Unicode-aware."""
     return ("(?iU)" if ignore_case else "(?U)") + pattern
+
+
+def canonical_json(col: Column) -> Column:
+    """A JSON text with the keys of every object sorted, at every depth, and a space behind ``,`` and ``:``.
+
+    Variants keep the keys of an object in order, so parsing sorts them.  What is no JSON, or names a key twice, is null.
+    """
+    # escaped backslashes and quotes stand aside as control characters, which JSON never holds as they are
+    marks = [("\\\\", "\x01"), ('\\"', "\x02")]
+    text = reduce(lambda t, m: F.replace(t, F.lit(m[0]), F.lit(m[1])), marks, F.to_json(F.try_parse_json(col)))
+    spaced = lambda part: F.replace(F.replace(part, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+    parts = F.transform(F.split(text, '"'), lambda part, i: F.when(i % 2 == 0, spaced(part)).otherwise(part))
+    return reduce(lambda t, m: F.replace(t, F.lit(m[1]), F.lit(m[0])), marks, F.array_join(parts, '"'))

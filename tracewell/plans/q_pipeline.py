@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracewell import ext
-from tracewell.operators import correlate, normalize
+from tracewell.functions.text import canonical_json
+from tracewell.operators import alerts, correlate, normalize
 from tracewell.plans import pipeline, q_analysis, q_intel, q_normalize
 from tracewell.plans.views import BASE_CTE, alert_records, oracle, sec_events, sql_ts, table, ts_text
 from tracewell.sources import logs, sinks
@@ -151,6 +152,67 @@ def read_log_directory(s, d):
 _add("read_log_directory", read_log_directory,
      f"WITH {BASE_CTE} SELECT 'crowdstrike' AS source_type, {q_normalize.H} AS host, {q_normalize.U} AS \"user\", count(*) AS n FROM base GROUP BY 1, 2, 3")
 
+
+def _write_texts(df, column, folder, extension, *partition_by):
+    """Text files with an extension of choice: a value a line, nothing quoted."""
+    df.select(column, *partition_by).write.partitionBy(*partition_by).options(
+        quote="", escapeQuotes="false", extension=extension, emptyValue="", sep="\x01").csv(folder)
+
+
+def read_logs(s, d):
+    """A folder of line files and of array documents, read in splits of two sizes: the same records under the same ids."""
+    folder = scratch(s)
+    records = q_normalize.records_of(s, d, "crowdstrike")
+    lines = records.filter("seq % 2 = 0")
+    _write_texts(lines, "raw_data", f"{folder}/in/lines", "jsonl")
+    _write_texts(lines.filter("seq % 4 = 0"), "raw_data", f"{folder}/in/again", "log")
+    arrays = records.filter("seq % 2 = 1").groupBy(F.expr("seq % 40").alias("doc")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("raw_data"), ","), F.lit("]")).alias("raw_data"))
+    _write_texts(arrays, "raw_data", f"{folder}/in/documents", "json", "doc")
+    before = s.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    for n, size in enumerate(("128m", "64k")):
+        s.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            normalize.normalize(logs.read_logs(s, f"{folder}/in"), ingest_ts=q_normalize.INGEST).select(
+                "event_id", "source_type", "host", "user").write.parquet(f"{folder}/read{n}")
+        finally:
+            s.conf.set("spark.sql.files.maxPartitionBytes", before)
+        found.append(s.read.parquet(f"{folder}/read{n}"))
+    both = found[0].join(found[1], ["event_id", "source_type", "host", "user"])
+    return both.groupBy("source_type", "host", "user").agg(F.count_distinct("event_id").alias("n"))
+
+
+def read_alerts(s, d):
+    """Alert records as a line file and as array documents, read and normalized."""
+    folder = scratch(s)
+    records = alert_records(s, d)
+    _write_texts(records.filter("seq % 2 = 0"), "raw", f"{folder}/lines", "jsonl")
+    arrays = records.filter("seq % 2 = 1").groupBy(F.expr("seq % 40").alias("doc")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("raw"), ","), F.lit("]")).alias("raw"))
+    _write_texts(arrays, "raw", f"{folder}/documents", "json", "doc")
+    found = alerts.normalize_alerts(logs.read_alerts(s, folder), q_normalize.INGEST)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("read_logs", read_logs,
+     f"WITH {BASE_CTE} SELECT 'crowdstrike' AS source_type, {q_normalize.H} AS host, {q_normalize.U} AS \"user\", "
+     "count(*) + count(*) FILTER (i % 4 = 0) AS n FROM base GROUP BY 1, 2, 3")
+_add("read_alerts", read_alerts,
+     f"WITH {BASE_CTE} SELECT 'a' || CAST(i % 500 AS VARCHAR) AS id, count(*) AS n FROM base WHERE event_type = 'error' GROUP BY 1")
+
+
+def serialize_raw(s, d):
+    """Nested records with unsorted keys and quotes inside values, in their stored form."""
+    records = q_normalize.base_events(s, d).selectExpr("i AS seq", f"""to_json(named_struct('z', k, 'a', named_struct('y', {q_normalize.U},
+        'b', array(named_struct('d', i, 'c', concat('x, "q": \\\\', {q_normalize.H})))))) AS raw""")
+    return records.select("seq", canonical_json(F.col("raw")).alias("raw_data"))
+
+
+_add("serialize_raw", serialize_raw,
+     f"""WITH {BASE_CTE} SELECT i AS seq, '{{"a": {{"b": [{{"c": "x, \\"q\\": \\\\' || {q_normalize.H} || '", "d": ' || i || '}}], "y": "' || {q_normalize.U} || '"}}'
+     || CASE WHEN k IS NULL THEN '' ELSE ', "z": ' || k END || '}}' AS raw_data FROM base""")
+
 # ------------------------------------------------------------------ extensions
 
 
@@ -172,6 +234,36 @@ _add("custom_source", custom_source,
      f"AS class_uid, CASE WHEN k % 2 = 0 THEN 'Door opened' ELSE 'x' END AS activity_name, CASE WHEN k % 2 = 0 THEN {q_normalize.H} END AS host, "
      f"CASE WHEN k % 2 = 0 THEN {q_normalize.U} END AS \"user\" FROM base")
 
+
+def registered_source(s, d):
+    """The same source by registration, as a plug-in brings it."""
+    q = q_normalize
+    ext.register_source(
+        "badge_reader", lambda r: F.try_variant_get(r, "$.badge", "string").isNotNull(),
+        {"class_uid": lambda r: F.lit(3002), "activity_name": lambda r: F.lit("Door opened"), "host": ("door",), "user": ("badge",)})
+    try:
+        records = q.base_events(s, d).selectExpr(
+            f"CASE WHEN k % 2 = 0 THEN to_json(named_struct('badge', {q.U}, 'door', {q.H})) ELSE to_json(named_struct('message', 'x')) END AS raw_data",
+            "i AS seq")
+        return normalize.normalize(records).select("seq", "source_type", "class_uid", "activity_name", "host", "user")
+    finally:
+        ext.unregister("badge_reader")
+
+
+def registered_sink(s, d):
+    """Events handed to a registered sink, read back from where it wrote."""
+    folder = scratch(s)
+    ext.register_sink("by_table", lambda df: df.write.partitionBy("table_name").parquet(folder))
+    try:
+        ext.export(sec_events(s, d).select("event_id", "host", "table_name"), "by_table")
+    finally:
+        ext.unregister("by_table")
+    return s.read.parquet(folder).groupBy("table_name", "host").agg(F.count_distinct("event_id").alias("n"))
+
+
+_add("registered_source", registered_source, ORACLES["custom_source"])
+_add("registered_sink", registered_sink, oracle("SELECT table_name, host, count(DISTINCT event_id) AS n FROM sec_events GROUP BY 1, 2"))
+
 # ------------------------------------------------------------------ whole investigations
 
 _CLUSTER = {"cluster_seconds": q_analysis._DENSE_SECONDS, "cluster_events": q_analysis._DENSE_EVENTS}
@@ -225,10 +317,10 @@ _add("investigate", report, _report_sql())
 def report_with_feed(s, d):
     """Investigations with a provider feed: risk moves with the verdicts of alert indicators."""
     events = sec_events(s, d)
-    alerts = q_analysis.incident_alerts(s, d).join(
+    found = q_analysis.incident_alerts(s, d).join(
         events.filter("file_hash IS NOT NULL").groupBy("incident_id").agg(F.min("file_hash").alias("h")), "incident_id", "left"
     ).withColumn("raw", F.concat(F.lit('{"hash": "'), F.coalesce("h", F.lit("")), F.lit('"}'))).drop("h")
-    done = pipeline.investigate(alerts, events, q_intel.feed(s, d), **_CLUSTER)
+    done = pipeline.investigate(found, events, q_intel.feed(s, d), **_CLUSTER)
     return done.report.select("incident_id", "total_score", "severity", "n_factors", "ioc_count")
 
 

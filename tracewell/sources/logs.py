@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell import fixed_values as V
+from tracewell.functions.text import canonical_json
 
 _LINE_FILES = "*.{jsonl,log,ndjson}"
 _DOCUMENT_FILES = "*.json"
@@ -44,13 +45,16 @@ def numbered(lines: DataFrame) -> DataFrame:
 
 
 def explode_documents(df: DataFrame) -> DataFrame:
-    """Whole-file JSON (value, ...) to one row per element of an array, or one for an object."""
+    """Whole-file JSON (value, ...) to one row per element of an array, or one for an object.
+
+    A record is kept as JSON with sorted keys: the place of a key in a document names no other record.
+    """
     rest = [c for c in df.columns if c not in ("value", "seq")]
     doc = df.withColumn("_doc", F.try_parse_json("value"))
     items = F.try_variant_get(F.col("_doc"), "$", "array<variant>")
     listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), items).otherwise(F.array("_doc"))
     return doc.select(*rest, F.explode(listed).alias("_item")).filter(F.col("_item").isNotNull()).select(
-        F.to_json("_item").alias("raw_data"), *rest, F.monotonically_increasing_id().alias("seq"))
+        canonical_json(F.to_json("_item")).alias("raw_data"), *rest, F.monotonically_increasing_id().alias("seq"))
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = _DOCUMENT_FILES) -> DataFrame:
