@@ -142,6 +142,26 @@ def test_names_of_events_do_not_depend_on_splits(spark, tmp_path):
     assert names[0] == names[1] and len(names[0]) == 205
 
 
+def test_lines_are_numbered_without_a_shuffle_of_their_text(spark, tmp_path):
+    """A line repeated in nearly the whole file, blank lines between, files without any line, cut in splits of two sizes."""
+    texts = {"hot.log": ["same"] * 3000 + ["", "  ", "other"] + ["same"] * 3000, "b.jsonl": ["x", "", "y"], "none.log": [], "blank.log": ["", " "]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if name == "b.jsonl" else ""))
+    want = {(name, i, t) for name, lines in texts.items() for i, t in enumerate(x for x in lines if x.strip())}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = logs.read_lines(spark, str(tmp_path))
+        got = rows.select("file_name", "line", "raw_data").collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        beyond = logs.numbered(logs.keep_lines(logs.with_file(spark.read.text(str(tmp_path)))), logs.BROADCAST_SPLITS + 1)
+        same = {tuple(r) for r in beyond.select("file_name", "line", "raw_data").collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert len(got) == len(want) and {tuple(r) for r in got} == same == want
+        exchanged = [line for line in plan.split("\n") if "Exchange hash" in line]
+        assert "BroadcastHashJoin" in plan and exchanged and not [line for line in exchanged if "raw_data" in line]
+
+
 def _stream_of(spark, df, folder):
     df.write.parquet(folder)
     return spark.readStream.schema(df.schema).parquet(folder)

@@ -93,7 +93,7 @@ def normalize(
         branches = [(i, mappings[n][target]) for i, n in enumerate(names) if target in mappings[n]]
         return case_of(branches, record, "int" if target == "class_uid" else "string")
 
-    carried = [c for c in ("seq", "incident_id", "file", "occurrence") if c in df.columns]
+    carried = [c for c in ("seq", "incident_id", "file", "line") if c in df.columns]
     keys = time_keys or V.TIME_KEYS
     own_type = [(i, mappings[n]["source_type"]) for i, n in enumerate(names) if "source_type" in mappings[n]]
     mapped = step.select(
@@ -113,10 +113,10 @@ def normalize(
         return F.nullif(F.btrim(col, F.lit(_SPACE)), F.lit("")).alias(target)
 
     time = F.coalesce(*[coerce.parse_iso(F.col(f"_t{i}")) for i in range(len(keys))], ingest).alias("timestamp")
-    identity = [F.col(c).cast("string") for c in ("file", "occurrence" if "occurrence" in df.columns else "seq") if c in df.columns]
+    identity = [F.col(c).cast("string") for c in ("file", "line" if "line" in df.columns else "seq") if c in df.columns]
     out = mapped.select(
         F.sha2(F.concat_ws("|", *identity, "raw_data"), 256).alias("event_id"), "source_type", "raw_data",
-        time, *[c for c in carried if c not in ("file", "occurrence")], *[finished(t) for t in _MAPPED],
+        time, *[c for c in carried if c not in ("file", "line")], *[finished(t) for t in _MAPPED],
     )
     return complete_events(out)
 

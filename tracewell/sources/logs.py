@@ -8,17 +8,20 @@ from pyspark.sql import types as T
 
 from tracewell import fixed_values as V
 from tracewell.functions.text import canonical_json
+from tracewell.session import durable
 
 _LINE_FILES = "*.{jsonl,log,ndjson}"
 _DOCUMENT_FILES = "*.json"
 
 
-def _with_file(df: DataFrame) -> DataFrame:
-    """value, file, file_name and seq: the order inside a task, which follows the order inside a file."""
-    return df.select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"),
-        F.monotonically_increasing_id().alias("seq"),
-    )
+#: Up to so many splits of files go to every task: about 150 bytes each.
+BROADCAST_SPLITS = 500_000
+
+
+def with_file(df: DataFrame) -> DataFrame:
+    """value, file, file_name, and the place (block, block_length) of the split of the file that a line begins in."""
+    return df.select("value", *(F.col(f"_metadata.{name}").alias(alias) for name, alias in (
+        ("file_path", "file"), ("file_name", "file_name"), ("file_block_start", "block"), ("file_block_length", "block_length"))))
 
 
 def keep_lines(df: DataFrame) -> DataFrame:
@@ -30,41 +33,62 @@ def keep_lines(df: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, glob: str = _LINE_FILES) -> DataFrame:
     """One row per non-blank line (S1); large files are split, so one file is many tasks."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return numbered(keep_lines(_with_file(reader.text(path))))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    # a file has a split more than it fills, at most
+    splits = len(files.inputFiles()) + files.rdd.getNumPartitions()
+    return numbered(keep_lines(with_file(files)), splits)
+
 
+def numbered(lines: DataFrame, splits: int | None = None) -> DataFrame:
+    """Lines as read by a scan, with ``seq``, their order inside a task, and ``line``, their number in the file (from 0, without blank ones).
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """With ``occurrence``: the how-manieth of the equal lines of its file a line is.
+    A task reads the lines of a split in order.  So a line's number is its place in the split plus the lines of the
+    file's splits before it: one row a split is counted and sent back, no line is shuffled, and a line repeated by
+    millions is no group.  (file, line) names a record whatever splits the file was read in.
 
-    Equal lines are interchangeable, so (file, line, occurrence) names a record whatever splits a file was read in; the
-    same file read twice gives the same names.
+    ``splits`` bounds the number of splits; without it they are counted first.  The files are read twice, and must be cut
+    alike both times: where executors come and go, set ``spark.sql.files.minPartitionNum``.  A read that was cut
+    otherwise fails, it gives no other numbers.
     """
-    order = Window.partitionBy("file", F.xxhash64("raw_data"), F.xxhash64(F.lit(1), "raw_data")).orderBy("seq")
-    return lines.withColumn("occurrence", F.row_number().over(order))
+    placed = lines.withColumn("seq", F.monotonically_increasing_id())
+    found = placed.groupBy("file", "block", "block_length").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if splits is None:
+        found = durable(found)
+        splits = found.count()
+    if splits <= BROADCAST_SPLITS:
+        found = F.broadcast(found)
+    place = F.col("seq") - F.col("_first")
+    number = F.when((place >= 0) & (place < F.col("_n")), F.col("_before") + place).otherwise(
+        F.raise_error(F.lit("files were cut into other splits while they were read; set spark.sql.files.minPartitionNum")))
+    both = placed.join(found, ["file", "block", "block_length"], "left")
+    return both.select(*[c for c in placed.columns if c not in ("block", "block_length")], number.alias("line"))
 
 
 def explode_documents(df: DataFrame) -> DataFrame:
     """Whole-file JSON (value, ...) to one row per element of an array, or one for an object.
 
-    A record is kept as JSON with sorted keys: the place of a key in a document names no other record.
+    A record is kept as JSON with sorted keys: the place of a key in a document names no other record.  ``line`` is its
+    place in the document.
     """
-    rest = [c for c in df.columns if c not in ("value", "seq")]
+    rest = [c for c in df.columns if c not in ("value", "block", "block_length")]
     doc = df.withColumn("_doc", F.try_parse_json("value"))
     items = F.try_variant_get(F.col("_doc"), "$", "array<variant>")
     listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), items).otherwise(F.array("_doc"))
-    return doc.select(*rest, F.explode(listed).alias("_item")).filter(F.col("_item").isNotNull()).select(
-        canonical_json(F.to_json("_item")).alias("raw_data"), *rest, F.monotonically_increasing_id().alias("seq"))
+    items = doc.select(*rest, F.posexplode(listed).alias("_at", "_item")).filter(F.col("_item").isNotNull())
+    return items.select(
+        canonical_json(F.to_json("_item")).alias("raw_data"), *rest, F.monotonically_increasing_id().alias("seq"), F.col("_at").cast("bigint").alias("line"))
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = _DOCUMENT_FILES) -> DataFrame:
     """Records of ``.json`` files, each of which is one document."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return numbered(explode_documents(_with_file(reader.text(path, wholetext=True))))
+    return explode_documents(with_file(reader.text(path, wholetext=True)))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All logs below a folder, or one file (S3): (raw_data, file, file_name, seq, occurrence).
+    """All logs below a folder, or one file (S3): (raw_data, file, file_name, seq, line).
 
     Order by (file, seq) to walk through the files as they stand.
     """

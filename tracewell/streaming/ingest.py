@@ -14,12 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.operators.alerts import dedupe_alerts, normalize_alerts
 from tracewell.operators.normalize import normalize
-from tracewell.sources.logs import keep_lines, numbered, parse_syslog
+from tracewell.sources.logs import keep_lines, numbered, parse_syslog, with_file
 from tracewell.sources.sinks import id_part, in_parts_of, there, write_events
 
 
 def watch_directory(spark: SparkSession, path: str, glob: str = "*.{log,json,txt}", max_files: int | None = None) -> DataFrame:
-    """Lines of files that appear below a folder (T1): (raw_data, file, file_name).
+    """Lines of files that appear below a folder (T1): (raw_data, file, file_name, block, block_length).
 
     The file source looks at whole files: writers should move finished files in,
     lines appended to a file already read are not seen.  Equal lines get one event id from
@@ -28,8 +28,7 @@ def watch_directory(spark: SparkSession, path: str, glob: str = "*.{log,json,txt
     reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.lit("filewatch").alias("file_name"))
-    return keep_lines(lines)
+    return keep_lines(with_file(reader.text(path)).withColumn("file_name", F.lit("filewatch")))
 
 
 def normalize_stream(lines: DataFrame, parser: str | None = None, ingest_ts: Column | str | None = None) -> DataFrame:
@@ -87,11 +86,11 @@ def store_lines_stream(
 ) -> StreamingQuery:
     """Normalize and store a stream of whole files' lines.
 
-    A file arrives in one micro-batch, where its equal lines are numbered: each is an event of its own.
+    A file arrives in one micro-batch, where its lines are numbered: each is an event of its own.
     """
 
     def store(batch: DataFrame, name: str) -> None:
-        rows = numbered(batch.withColumn("seq", F.monotonically_increasing_id()))
+        rows = numbered(batch)
         ingest = F.current_timestamp() if ingest_ts is None else ingest_ts
         write_events(normalize(rows, parser=parser, ingest_ts=ingest), path, name)
 
