@@ -338,6 +338,23 @@ def test_parts_of_items_are_found(spark):
     assert found == {1: 18, 2: 30, 3: 19, 4: 6, 7: 52}
 
 
+def test_questions_with_names_at_the_head_of_sentences(spark):
+    """Short sentences that begin with names, asked again with other names and numbers; sums, found word for word only."""
+    ask = "{0} has {1} red apples. {0} eats {2} of them. {0} buys {3} green pears. How many fruits does {0} have?".format
+    sums = "Work out 3 + 4 + 5 - 6 and then 12 * 7 / 3"
+    bench = spark.createDataFrame([(1, ask("Anna", 12, 3, 5)), (2, "12 km 5 kg 7 m 9 g 11 cm 13 mm 15 l 17 ml"), (3, None), (4, "")], "item_id int, text string")
+    rows = [
+        (1, ask("Anna", 12, 3, 5)), (2, f"Some remarks. {ask('Boris', 40, 8, 6)} So much for that."), (3, ask("anna", 12, 3, 5)),
+        (4, "Carla has 12 red apples. Dora eats 3 of them. Emil buys 5 green pears. How many fruits does Franz have?"),
+        (5, "note: 12 km 5 kg 7 m 9 g 11 cm 13 mm 15 l 17 ml done"), (6, "note: 13 km 6 kg 8 m 1 g 12 cm 14 mm 16 l 18 ml done"),
+        (7, "Anna has some red flowers. Boris sells them. How many fruits does Carla like? Dora buys none."), (8, sums), (9, None), (10, ""), (2, "the same id again")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {(r.doc_id, r.item_id): r.same_values for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {(1, 1): True, (2, 1): False, (3, 1): True, (5, 2): True}
+    empty = spark.createDataFrame([], docs.schema)
+    assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_katz_is_normalised(spark, order):
     rng = random.Random(3)
