@@ -85,3 +85,20 @@ def test_scope_of_duplicates(spark):
     assert ioc.extract_iocs(df, ["t"], ["inc", "id"]).count() == 3
     twice = spark.createDataFrame([(1, "8.8.8.8 8.8.8.8")], "id int, t string")
     assert ioc.extract_iocs(twice, ["t"], ["id"], dedupe=None).filter(F.col("type") == "ipv4").count() == 2
+
+
+def test_commands_are_decoded_once_and_whole_units_only(spark):
+    texts = ["curl http://h1.test/päth/😀x", "plain ascii that is long enough", "ﷰ mÝ ßÐ units that look like halves"]
+    raw = [t.encode("utf-16-le") for t in texts]
+    lone = b"\x00\xd8" + "a half in front and a byte behind".encode("utf-16-le") + b"\x41"
+    rows = [(i, "powershell -enc " + base64.b64encode(b).decode()) for i, b in enumerate([*raw, lone])]
+    df = ioc._with_texts(spark.createDataFrame(rows, "id int, t string"), F.col("t"), ["id"])
+    got = {r.id: r.text for r in df.filter("depth = 1").collect()}
+    assert got == dict(enumerate([*texts, "a half in front and a byte behind"]))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("unhex(") == 1
+
+
+def test_amsi_patterns_with_letters_that_only_fold_to_ascii(spark):
+    rows = [(1, "bypass AMSI"), (2, "disable amſi"), (3, "bypass AMSİ"), (4, "disable amsı"), (5, "bypass am si"), (6, "amsi alone")]
+    found = ioc.extract_iocs(spark.createDataFrame(rows, "id int, t string"), ["t"], ["id"]).filter("type = 'yara_rule'")
+    assert {r.id for r in found.collect()} == {1, 2, 3, 4}
