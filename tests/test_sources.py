@@ -3,8 +3,10 @@ import json
 from pyspark.sql import functions as F
 
 from tracewell import ext
+from tracewell.functions.text import explode_once
 from tracewell.operators import alerts, intel, normalize, risk
-from tracewell.plans import pipeline
+from tracewell.plans import pipeline, q_pipeline
+from tracewell.schema import complete_events
 from tracewell.sources import logs, sinks
 from tracewell.streaming import ingest
 
@@ -218,3 +220,37 @@ def test_streams_go_on_in_a_store(spark, tmp_path):
         ingest.upsert_events_stream(events, store, str(tmp_path / f"elog{number}")).awaitTermination()
     got = {r.event_id: r.host for r in sinks.read_events(spark, store).collect()}
     assert got == {"e1": "batch", "e2": "second", "e3": "first", "e4": "second"}
+
+
+def test_work_below_a_filter_is_done_once(spark):
+    xml = spark.createDataFrame([("<Event><System><EventID>1</EventID></System></Event>",), ("<x/>",), ("no xml",), (None,)], "value string")
+    found = logs.windows_event_xml(xml)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+    assert [json.loads(r.raw_data)["EventID"] for r in found.collect()] == ["1"]
+    rows = spark.createDataFrame([(1, ["a", None, "b"]), (2, []), (3, None), (4, [None])], "id int, l array<string>")
+    out = explode_once(rows, ["id"], F.transform("l", lambda x: F.upper(x)), "x")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "A"), (1, "B")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_array_documents_are_many_in_a_large_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_pipeline, "_IN_DOCUMENT", 10)
+    records = spark.range(0, 1200).select(F.col("id").alias("seq"), F.concat(F.lit('{"n":'), F.col("id"), F.lit("}")).alias("raw"))
+    q_pipeline._write_documents(records.filter("seq % 2 = 1"), "raw", str(tmp_path / "docs"))
+    assert len(list((tmp_path / "docs").rglob("*.json"))) == 60
+    assert logs.read_documents(spark, str(tmp_path / "docs")).select("raw_data").distinct().count() == 600
+
+
+def test_investigation_does_not_shuffle_events_by_incident(spark):
+    rows = spark.range(0, 1000).selectExpr(
+        "'e' || id AS event_id", "CAST(1007 AS INT) AS class_uid", "timestamp_seconds(id) AS timestamp", "'h' AS host", "id AS seq",
+        "'i' || id % 2 AS incident_id")
+    found = spark.sql("SELECT 'a' || id AS id, 'i' || id AS incident_id, 't' AS title, '' AS description, '' AS raw, 'high' AS severity, "
+                      "timestamp_seconds(0) AS timestamp, 'h' AS host, 'u' AS user FROM range(2)")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pipeline.investigate(found, complete_events(rows)).edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
