@@ -196,3 +196,36 @@ def test_event_density_counts_ties_and_both_ends_of_the_window(spark):
             if dense:
                 expected[incident] = (*dense[0], len(dense))
         assert found == expected and found
+
+
+def test_hot_groups_are_paired_in_blocks_over_tasks_that_follow_the_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    # one address of one host has nearly all rows, many at one instant; ids and rows repeat
+    at = lambda: T0 + timedelta(seconds=rng.choice([0, 0, 0, 59, 60, 61, 119, 120, 121, -60, -61]))
+    rows = [dict(event_id=f"a{i % 40}", class_uid=3002, host="h", user="x", src_ip="1.1.1.1", timestamp=at()) for i in range(50)]
+    rows += [dict(event_id=f"n{i}", class_uid=4001, host="h", process_pid=5, process_name="p", src_ip=f"1.1.1.{1 + i % 9 // 8}",
+                  dst_ip="1.1.1.1", timestamp=at()) for i in range(60)]
+    rows += [dict(event_id=f"p{i}", class_uid=1007, host="h", process_name="p", process_pid=5 + i % 9 // 8, parent_process_pid=5,
+                  timestamp=at()) for i in range(45)]
+    events, near = _events(spark, rows), lambda x, y: abs(x["timestamp"] - y["timestamp"]) <= timedelta(seconds=60)
+    of = lambda kind: [r for r in rows if r["class_uid"] == kind]
+    expected = [
+        sorted((a["event_id"], n["event_id"], f"{a['timestamp']:%H:%M:%S}") for a in of(3002) for n in of(4001) if near(a, n)),
+        sorted((n["event_id"], p["event_id"], f"{n['timestamp']:%H:%M:%S}") for n in of(4001) for p in of(1007) if near(n, p)),
+        sorted((c["event_id"], p["event_id"], f"{c['timestamp']:%H:%M:%S}") for c in of(1007) for p in of(1007)
+               if c["event_id"] != p["event_id"] and p["process_pid"] == 5 and near(c, p)),
+    ]
+    found = lambda: [
+        correlate.identity_correlation(events, 60, "HH:mm:ss").select("auth_event_id", "network_event_id", "auth_timestamp"),
+        correlate.network_to_process(events, 60, "HH:mm:ss").select("network_event_id", "process_event_id", "network_timestamp"),
+        correlate.process_lineage(events, 60, "HH:mm:ss").select("child_event_id", "parent_event_id", "child_timestamp"),
+    ]
+    pairs = sorted(tuple(r) for r in correlate.entity_correlation(events, 60).select("event_a_id", "event_b_id", "correlation_key", "delta_seconds").collect())
+    for block, task in ((2_000, 10_000_000), (7, 150)):
+        monkeypatch.setattr(correlate, "BLOCK_ROWS", block)
+        monkeypatch.setattr(correlate, "TASK_PAIRS", task)
+        for df, rows_expected in zip(found(), expected):
+            assert sorted(tuple(r) for r in df.collect()) == rows_expected
+            if task == 150:
+                assert df.rdd.getNumPartitions() > 4
+    assert pairs == sorted(tuple(r) for r in correlate.entity_correlation(events, 60).select("event_a_id", "event_b_id", "correlation_key", "delta_seconds").collect())
