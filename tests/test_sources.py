@@ -254,3 +254,14 @@ def test_investigation_does_not_shuffle_events_by_incident(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_records_written_twice_are_computed_once(spark, sf_dir):
+    from tracewell.plans import q_normalize, q_pipeline
+
+    records = q_normalize.records_of(spark, sf_dir, "sysmon").select("raw_data")
+    both = q_pipeline._twice(records)
+    assert both.columns == ["raw_data"]
+    assert sorted(both.collect()) == sorted(records.unionAll(records).collect())
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan, plan
