@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -386,3 +387,37 @@ def test_katz_base_score_by_hand(spark):
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert math.isclose(got[i].base_score, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel_tol=1e-9)
         assert got[i].score < 0
+
+
+def test_katz_stores_few_bytes_a_token(spark):
+    """Nearly every pair of words is new: neither the model nor what is stored for scoring has a wide row for each of them."""
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(20000)}" for _ in range(3000))) for i in range(60)], "doc_id int, text string")
+    shared_folder(spark, "katz-size")
+    top = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in top.rglob("*") if f.is_file())
+    before = size()
+    assert katz.scored(docs, F.lit(True)).agg(F.sum("n_tokens")).first()[0] == 60 * 3001
+    assert size() - before < 10 * 60 * 3001
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_katz_blocks_agree_with_its_tables(spark, monkeypatch, order):
+    """Texts in many blocks and buckets are scored as by joins with the tables, whether trained on or not."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(0, 40), 30), i % 4 > 0) for i in range(80)] + [(80, None, True), (80, "w1x", None), (None, "", False)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, training boolean").coalesce(1)
+    whole = katz.Katz.train(docs, order, F.col("training")).scores().collect()
+    monkeypatch.setattr(katz, "_BLOCK", 500)
+    monkeypatch.setattr(katz, "_BUCKET", 100)
+    model = katz.Katz.train(docs, order, F.col("training"))
+    got = model.scores().collect()
+    assert model.blocks.count() > 5 and len(got) == len(rows)
+    plain = lambda found: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in found], key=repr)
+    assert plain(whole) == plain(got)
+    later = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "row bigint, text string")
+    want = {r.row: r.score for r in model.log_probabilities(katz.occurrences(later, order)).collect()}
+    assert sorted(round(r.score, 9) for r in got) == sorted(round(v, 9) for v in want.values())
+    grams = collections.Counter(t for _, text, training in rows if training for t in [*words_of(text), "end"])
+    assert sorted(r.c for r in model.grams(1).collect()) == sorted(grams.values())
+    assert all(model.grams(n).agg(F.sum("c")).first()[0] == sum(grams.values()) for n in range(1, order + 1))
