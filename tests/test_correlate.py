@@ -129,6 +129,24 @@ def test_anchored_groups(spark, seed, window):
     assert _groups(correlate.correlate_anchored(_events(spark, rows), window, _KEYS)) == _anchored(rows, window)
 
 
+def test_anchored_groups_of_a_long_component_take_one_pass(spark, monkeypatch):
+    # one value all the way: a component of some 40 groups, each of which ends a window behind its first event
+    rng = random.Random(9)
+    rows = [dict(event_id=f"e{i:03d}", class_uid=1007, seq=i, timestamp=T0 + timedelta(seconds=13 * i + rng.randint(0, 12)), host="h",
+                 user=f"u{rng.randint(0, 3)}" if i % 5 == 0 else None) for i in range(120)]
+    calls, durable = [], correlate.durable
+    monkeypatch.setattr(correlate, "durable", lambda df: calls.append(1) or durable(df))
+    found = correlate.correlate_anchored(_events(spark, rows + rows[50:53]), 30, _KEYS)
+    assert len(calls) <= 2
+    assert found.count() == len(rows) and _groups(found) == _anchored(rows, 30)
+    assert len(_anchored(rows, 30)) > 30
+    # events without values or without a time
+    rows = [dict(event_id="a", class_uid=1007, timestamp=T0), dict(event_id="b", class_uid=1007, host="h", timestamp=None),
+            dict(event_id="c", class_uid=1007, host="h", timestamp=T0), dict(event_id="d", class_uid=1007, host="h", timestamp=T0 + timedelta(seconds=31))]
+    assert _groups(correlate.correlate_anchored(_events(spark, [dict(r, user=None, process_guid=None) for r in rows]), 30, _KEYS)) == {
+        frozenset("a"), frozenset("c"), frozenset("d")}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
