@@ -247,3 +247,19 @@ def test_hot_groups_are_paired_in_blocks_over_tasks_that_follow_the_pairs(spark,
             if task == 150:
                 assert df.rdd.getNumPartitions() > 4
     assert pairs == sorted(tuple(r) for r in correlate.entity_correlation(events, 60).select("event_a_id", "event_b_id", "correlation_key", "delta_seconds").collect())
+
+
+def test_sparse_groups_are_joined_without_a_stored_row_for_each(spark, monkeypatch):
+    rows = _random_rows(11)
+    events, stored, durable = _events(spark, rows), [], correlate.durable
+    pairs, _ = _pairwise(rows, 120)
+    monkeypatch.setattr(correlate, "durable", lambda df: stored.append(durable(df)) or stored[-1])
+    for dense, block, hot in (((50, 500), 2_000, False), ((0, 500), 2_000, False), ((0, 500), 2, True), ((0, 0), 2, True)):
+        monkeypatch.setattr(correlate, "DENSE_PAIRS", dense)
+        monkeypatch.setattr(correlate, "BLOCK_ROWS", block)
+        stored.clear()
+        found = correlate.entity_correlation(events, 120, _KEYS)
+        assert bool(stored) == hot
+        got = [(r.event_a_id, r.event_b_id, r.correlation_key) for r in found.collect()]
+        assert sorted(got) == sorted(pairs)
+    assert correlate.entity_correlation(events.filter("false"), 120, _KEYS).count() == 0
