@@ -263,3 +263,19 @@ def test_sparse_groups_are_joined_without_a_stored_row_for_each(spark, monkeypat
         got = [(r.event_a_id, r.event_b_id, r.correlation_key) for r in found.collect()]
         assert sorted(got) == sorted(pairs)
     assert correlate.entity_correlation(events.filter("false"), 120, _KEYS).count() == 0
+
+
+def test_chosen_values_are_looked_up_without_shuffling_the_events(spark, monkeypatch):
+    rows = _random_rows(12)
+    chosen = spark.createDataFrame([("host", "h1"), ("user", "u2"), ("host", "h1")], "correlation_key string, correlation_value string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = correlate.entity_correlation(_events(spark, rows), 120, _KEYS, chosen)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin [correlation_key#" in plan
+        got = sorted((r.event_a_id, r.event_b_id, r.correlation_key) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    value = {r["event_id"]: r for r in rows}
+    assert got == sorted(p for p in _pairwise(rows, 120)[0] if (p[2], value[p[0]][p[2]]) in {("host", "h1"), ("user", "u2")}) and got
