@@ -102,3 +102,25 @@ def test_amsi_patterns_with_letters_that_only_fold_to_ascii(spark):
     rows = [(1, "bypass AMSI"), (2, "disable amſi"), (3, "bypass AMSİ"), (4, "disable amsı"), (5, "bypass am si"), (6, "amsi alone")]
     found = ioc.extract_iocs(spark.createDataFrame(rows, "id int, t string"), ["t"], ["id"]).filter("type = 'yara_rule'")
     assert {r.id for r in found.collect()} == {1, 2, 3, 4}
+
+
+def test_long_encoded_texts_skip_patterns_and_guards_leave_nothing_out(spark):
+    md5, sha256 = "d41d8cd98f00b204e9800998ecf8427e", "ab" * 32
+    high = base64.b64encode("curl http://é\U0001f600x.test/퟿".encode("utf-16-le")).decode().rstrip("=")
+    broken = base64.b64encode(b"h\x00t\x00t\x00p\x00:\x00/\x00/\x00\x00\xd8q\x00.\x00t\x00e\x00s\x00t\x00z").decode()
+    texts = {
+        "a": f"powershell -enc {high}", "b": f"x -EN {broken}", "c": "-enc " + "ſ" * 24, "d": f"({md5})", "e": f"ja3=\t{md5}", "f": "T1" + "AF" * 35,
+        "g": "Aſ123", "h": "cVe-2024-12345", "i": "uſer=eve", "j": "Account: bob", "k": "1" + "A1b" * 10, "l": "4A" + "1z" * 46 + "2", "m": f"=AS7 {sha256}",
+        "n": "1.2.3.4/24 hxxps://e[.]test", "o": f"A{md5} T1{md5}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "id string, t string")
+    found = ioc.extract_iocs(df, ["t"], ["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"CVE-\d{4}") == 1 and all(f"_has_{guard}" in plan for guard in ("word", "cve", "user"))
+    got = {(r.id, r.type): r.value for r in found.collect()}
+    assert got["a", "url"] == "http://é\U0001f600x.test/퟿" and got["b", "url"] == "http://q.test"
+    assert [k for k in got if k[0] in "co"] == []
+    expected = {("d", "md5"): md5, ("e", "ja3"): md5, ("f", "tlsh"): "T1" + "AF" * 35, ("g", "asn"): "Aſ123".upper(), ("h", "cve"): "CVE-2024-12345",
+                ("i", "user"): "eve", ("j", "user"): "bob", ("k", "btcwallet"): texts["k"], ("l", "xmrwallet"): texts["l"], ("m", "asn"): "AS7",
+                ("m", "sha256"): sha256, ("n", "cidr"): "1.2.3.4/24", ("n", "domain"): "e.test"}
+    assert {k: got.get(k) for k in expected} == expected
