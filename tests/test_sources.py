@@ -265,3 +265,16 @@ def test_records_written_twice_are_computed_once(spark, sf_dir):
     assert sorted(both.collect()) == sorted(records.unionAll(records).collect())
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Union" not in plan, plan
+
+
+def test_the_last_row_of_an_id_is_kept_and_ids_that_come_once_are_not_shuffled(spark):
+    from tracewell.sources.sinks import _latest
+
+    rows = [("a", 1, "x"), ("b", 2, "x"), ("c", 3, "x")]
+    schema = "event_id string, seq int, host string"
+    once = _latest(spark.createDataFrame(rows, schema), ["seq"])
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in once.collect()) == rows
+    more = [*rows, ("b", 5, "y"), ("b", 4, "z"), (None, 1, "n"), (None, 2, "m"), ("c", 3, "x")]
+    found = _latest(spark.createDataFrame(more, schema), ["seq"]).collect()
+    assert sorted(((r.event_id or "", r.seq, r.host) for r in found)) == [("", 2, "m"), ("a", 1, "x"), ("b", 5, "y"), ("c", 3, "x")]
