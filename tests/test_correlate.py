@@ -138,7 +138,7 @@ def test_anchored_groups_of_a_long_component_take_one_pass(spark, monkeypatch):
     monkeypatch.setattr(correlate, "durable", lambda df: calls.append(1) or durable(df))
     found = correlate.correlate_anchored(_events(spark, rows + rows[50:53]), 30, _KEYS)
     assert len(calls) <= 2
-    assert found.count() == len(rows) and _groups(found) == _anchored(rows, 30)
+    assert found.count() == len(rows) + 3 and _groups(found) == _anchored(rows, 30)
     assert len(_anchored(rows, 30)) > 30
     # events without values or without a time
     rows = [dict(event_id="a", class_uid=1007, timestamp=T0), dict(event_id="b", class_uid=1007, host="h", timestamp=None),
